@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from sparkwell.llm import line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 from sparkwell.llm.common import table
 
 URL_RULES = [
@@ -36,6 +36,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -46,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_url_filter, op7_suffix_dedup, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 
 
 SQL_OP2 = r"""
