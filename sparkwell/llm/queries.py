@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from sparkwell.llm import line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from sparkwell.llm.common import table
 
 URL_RULES = [
@@ -17,6 +17,11 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality_classifier.remainder(F.col("doc_id"), 5) == 0
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", held_out)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -27,6 +32,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality_classifier.remainder(F.col("doc_id"), 3) == 1
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held_out)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -57,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op3_simhash, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 
 
 SQL_OP2 = r"""
