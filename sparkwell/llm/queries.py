@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from sparkwell.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from sparkwell.llm.common import table
 
 URL_RULES = [
@@ -37,6 +37,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", held_out)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -67,7 +71,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op5_decontaminate, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
 
 
 SQL_OP2 = r"""
