@@ -6,6 +6,8 @@ their names. Each row counts as a document of its own, also when another row rep
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,3 +62,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def worker_memory(name: str) -> dict:
+    """A dict that a Python worker keeps from task to task; Spark reuses workers. The caller bounds it."""
+    return sys.modules.setdefault("sparkwell_worker_memory", types.ModuleType("sparkwell_worker_memory")).__dict__.setdefault(name, {})

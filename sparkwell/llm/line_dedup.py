@@ -34,13 +34,14 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_id, _tag, lines, doc_id, text): one row per input row."""
+    """(_id, _tag, lines, doc_id, text, row): one row per input row."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"),
         row_tag().alias("_tag"),
         F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"),
         F.col("doc_id"),
         F.col("text"),
+        F.struct("*").alias("row"),
     )
 
 
@@ -72,13 +73,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """Apply the bitmaps: (doc_id, text, kept_text, n_lines, n_dropped, dropped), one row per input row."""
+    """Apply the bitmaps: (row, doc_id, text, kept_text, n_lines, n_dropped, dropped), one row per input row.
+
+    ``row`` is the input row as a struct; Spark reads its columns only if they are used.
+    """
     maps = keep_bitmaps(docs, min_chars)
     joined = _lines(docs).join(maps, ["_id", "_tag"], "left")
     gone = F.flatten(F.transform("dropped", lambda r: F.sequence(r["first"], r["last"])))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     kept = F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     return joined.select(
+        "row",
         "doc_id",
         "text",
         kept.alias("kept_text"),

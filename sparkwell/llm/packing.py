@@ -19,7 +19,9 @@ result; columns besides ``doc_id``, ``text`` and ``source`` are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import zlib
+from array import array
+from collections import ChainMap, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,20 +33,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwell.llm.common import materialize, small_batches
+from sparkwell.llm.common import materialize, small_batches, worker_memory
 
 SEQUENCE = 4096
 END_ID = 2
 #: Queues of their own go to sources with at least this share of all tokens; bounds the plan.
 LEAST_SHARE = 256
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a worker remembers, from task to task.
+CACHE_WORDS = 800_000
+#: Rows of task and source totals up to which they are broadcast (about 10 MB); beyond, Spark shuffles for the join.
+BROADCAST_ROWS = 100_000
 #: A mark after a letter or digit is a token of its own in any case; apart, the word before it is met more often.
 TRAILING = re.compile(rb"(?<=[A-Za-z0-9])([.,]+)(?=[\x09-\x0d ]|$)")
 
 
+#: Byte classes that tell whether every final mark follows an ASCII letter or digit, so that plain replacement is enough.
+CLASSES = bytes(97 if chr(b).isalnum() and b < 128 else 100 if b in b".," else 32 if b in b"\t\n\x0b\x0c\r " else 112 for b in range(256))
+
+
+def split_words(body: bytes) -> list[bytes]:
+    """Words of a text with their final marks apart and A-Z lower-cased, which this kind of tokenizer does itself."""
+    if b"<|" not in body:  # may be a special token, whose letters count
+        body = body.lower()
+    kinds = body.translate(CLASSES)
+    if b"pd" in kinds or b"dd" in kinds:
+        return TRAILING.sub(rb" \1", body).split()
+    for mark in (b".", b","):
+        body = body.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
+    return body.split()
+
+
 class WordTokenizer:
-    """Ids of whole texts by way of their words, for tokenizers that drop white space and never merge across it."""
+    """Ids of whole texts by way of their words, for tokenizers that lower-case, drop white space and never merge across it."""
 
     def __init__(self, definition: str):
         import os
@@ -53,20 +73,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = worker_memory(f"ids-{zlib.crc32(definition.encode())}")
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [TRAILING.sub(rb" \1", b).split() for b in bodies]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
+        split, known = [split_words(b) for b in bodies], self.known
+        new = list({w for words in split for w in words if w not in known})
+        if len(known) + len(new) > CACHE_WORDS:
+            known = ChainMap({}, known)  # the new ones are forgotten after this batch
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for word, got in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        known = self.known
+                known[word] = array("I", got.ids).tobytes()
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -218,6 +236,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, mixture: dict[st
     by_task = by_task.withColumn("of_task", F.coalesce(F.sum("n").over(exclusive("queue").orderBy("task")), F.lit(0))).drop("n")
     bases = by_source.withColumn("of_source", F.coalesce(F.sum("n").over(exclusive("queue", "task").orderBy("source")), F.lit(0))).join(by_task, ["queue", "task"])
     bases = bases.select("task", "source", "queue", (F.col("of_task") + F.col("of_source")).alias("base"))
+    if by_source.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)  # ids need not move
     placed = tokens.join(bases, ["task", "source"]).select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("at"), "n_tokens", "ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
 

@@ -36,14 +36,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), lambda w: w != "")
 
 
-def failing(line: Column) -> Column:
-    """True for a line that has words and breaks a rule."""
+def measured(line: Column) -> Column:
+    """(line, n, marks): the line, its words and its characters that are neither letters, digits nor spaces."""
     n = F.regexp_count(line, F.lit(r"[^ \t\n\x0B\f\r]+"))
-    letters = F.regexp_count(line, F.lit(r"[\p{L}\p{N}]"))
-    chars = F.regexp_count(line, F.lit(r"[^ \t\n\x0B\f\r]"))
-    punctuation = (letters * 2 < chars) | (F.regexp_count(line, F.lit(SHOUTS)) * 4 > n)
+    marks = F.char_length(F.regexp_replace(line, r"[\p{L}\p{N} \t\n\x0B\f\r]+", ""))
+    return F.struct(line.alias("line"), n.alias("n"), marks.alias("marks"))
+
+
+def failing(m: Column) -> Column:
+    """True for a measured line that has words and breaks a rule; the cheap conditions come first."""
+    line, n, marks = m["line"], m["n"], m["marks"]
+    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
+    # More marks than letters or digits, or a shout for fewer than four words: either takes a mark for fewer than four words.
+    punctuation = (marks * 4 > n) & ((letters < marks) | (F.regexp_count(line, F.lit(SHOUTS)) * 4 > n))
     separators = F.regexp_count(line, F.lit(SEPARATORS))
-    navigation = (separators >= 3) & (separators * 5 >= n)
+    navigation = (marks >= 3) & (separators >= 3) & (separators * 5 >= n)
     return (n > 0) & (punctuation | navigation | line.rlike(BOILERPLATE))
 
 
@@ -63,30 +70,41 @@ def _repeat_words() -> Column:
 
 
 def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
-    """(doc_id, text, cleaned, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_share, base_failed, kept)."""
+    """(row, doc_id, text, cleaned, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed_lines, lost_share, base_failed, kept).
+
+    ``row`` is the input row as a struct; Spark reads its columns only if they are used.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.split(text, "\n", -1).alias("lines"))
+    words = docs.select(F.struct("*").alias("row"), "doc_id", "text", words_of(F.col("text")).alias("words"), F.split(text, "\n", -1).alias("lines"))
     hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
     windows = F.when(F.col("n") < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.expr("transform(sequence(0, n - 5), i -> xxhash64(get(hashes, i), get(hashes, i + 1), get(hashes, i + 2), get(hashes, i + 3), get(hashes, i + 4)))")
     )
     counted = hashed.withColumn("windows", windows).select(
+        "row",
         "doc_id",
         "text",
         "lines",
-        F.filter("lines", lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("with_words"),
-        F.filter("lines", lambda x: ~failing(x)).alias("good"),
+        F.transform("lines", measured).alias("measured"),
         F.col("n").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         _repeat_words().cast("long").alias("n_repeat_words"),
     )
+    counted = counted.withColumns({
+        "with_words": F.transform(F.filter("measured", lambda m: m["n"] > 0), lambda m: m["line"]),
+        "good": F.transform(F.filter("measured", lambda m: ~failing(m)), lambda m: m["line"]),
+    })
     base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good_chars = F.char_length(F.array_join(words_of(F.col("cleaned")), ""))
-    return (
-        counted.withColumn("cleaned", F.when(F.size("good") == F.size("lines"), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("good", "\n")))
-        .withColumn("lost_share", F.when(F.size("good") == F.size("lines"), F.lit(0.0)).otherwise(1 - good_chars / F.greatest(F.col("word_chars"), F.lit(1))))
-        .select(
+    cleaned = F.when(F.size("good") == F.size("lines"), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("good", "\n"))
+    lost = F.when(F.size("good") == F.size("lines"), F.lit(0.0)).otherwise(1 - good_chars / F.greatest(F.col("word_chars"), F.lit(1)))
+    judged = counted.withColumn("cleaned", cleaned).withColumn("lost_share", lost)
+    # One row of one struct, unpacked: a filter on the result isn't pushed below this, where it would be evaluated with
+    # all that it depends on inside the lambdas that use it.
+    return judged.select(
+        F.inline(F.array(F.struct(
+            "row",
             "doc_id",
             "text",
             "cleaned",
@@ -99,5 +117,5 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
             "lost_share",
             base.alias("base_failed"),
             (~base & (F.col("lost_share") <= max_lost)).alias("kept"),
-        )
-    )
+        )))
+    )

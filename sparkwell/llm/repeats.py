@@ -79,8 +79,8 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
 
 
 def by_bucket(a: np.ndarray, bucket: np.ndarray, kind: int) -> pd.DataFrame:
-    """One packed row for each bucket that has entries."""
-    order = np.argsort(bucket, kind="stable")
+    """One packed row for each bucket that has entries; in a row they lie by document and position, which packs best."""
+    order = np.lexsort((a["pos"], a["tag"], a["id"], bucket))
     names, starts = np.unique(bucket[order], return_index=True)
     parts = np.split(a[order], starts[1:]) if len(a) else []
     return pd.DataFrame({"bucket": names.astype(np.int32), "kind": np.full(len(names), kind, np.int8), "blob": [pack(p) for p in parts]})
@@ -147,7 +147,7 @@ def answer(e: np.ndarray, strict: bool) -> np.ndarray:
 
 def repeats(source: DataFrame, scan: Callable[[pd.DataFrame], Iterator[np.ndarray]], strict: bool) -> DataFrame:
     """(_id, _tag, marks): for each document with marked entries, its marks in order, packed as MARK."""
-    n = 4 * partitions(source.sparkSession)
+    n = partitions(source.sparkSession)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import keyed, materialize, small_batches
+from sparkwell.llm.common import keyed, materialize, row_tag, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -128,17 +128,17 @@ def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, _tag, fp): fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    src = keyed(docs).select("doc_id", "body")
+    src = keyed(docs).select("doc_id", "_tag", "body")
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(b, shingle) for b in pdf["body"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "_tag": pdf["_tag"], "fp": fps.view(np.int64)})
 
-    return src.mapInPandas(work, f"doc_id {kind}, fp long")
+    return src.mapInPandas(work, f"doc_id {kind}, _tag int, fp long")
 
 
 def similar_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -184,7 +184,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id among all documents that fingerprint links reach.
+    """(doc_id, _tag, fp, root, component_id): the smallest doc_id among all documents that fingerprint links reach.
+
+    ``root`` names the component also where it holds no doc_id; ``_tag`` is common.row_tag.
 
     Defined cases: a null or empty text has fingerprint 0, linked like any other; repeated rows share a
     component; rows without doc_id are linked but never name a component, which is null if nothing else is in
@@ -194,5 +196,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
     folded = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(similar_pairs(folded.select("fp"), max_distance))
     rooted = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "_tag", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the smallest doc_id (rows without come last)."""
+    groups = near_duplicates(docs, shingle, max_distance)
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), "_tag")
+    stay = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._id").alias("_id"), F.col("o._tag").alias("_tag"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_tag().alias("_tag"))
+    # Rows that repeat one another share id and tag: one of them stays.
+    return rows.join(stay, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("row").alias("row")).select("row.*")

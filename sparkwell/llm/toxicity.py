@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import keyed, materialize, small_batches
+from sparkwell.llm.common import keyed, materialize, small_batches, worker_memory
 from sparkwell.llm.quality_classifier import isotonic
 
 ORDERS = (3, 4)
@@ -63,8 +63,9 @@ INNER_MARKS = re.compile(r"[\W_]+")
 def normal_words(body: bytes) -> set[str]:
     """The distinct words of a text as the kernel reads them."""
     out, singles = set(), []
+    known = worker_memory("normal-words")
     for raw in body.split() + [b""]:
-        word = NORMAL.get(raw)
+        word = known.get(raw)
         if word is None:
             text = EDGE_MARKS.sub("", raw.decode("utf-8", "replace").lower())
             if any(c.isalpha() for c in text):
@@ -72,9 +73,8 @@ def normal_words(body: bytes) -> set[str]:
             else:
                 text = ""
             word = text
-            if len(NORMAL) > CACHE_WORDS:
-                NORMAL.clear()
-            NORMAL[raw] = word
+            if len(known) < CACHE_WORDS:
+                known[raw] = word
         if len(word) == 1:
             singles.append(word)
             continue
@@ -86,9 +86,6 @@ def normal_words(body: bytes) -> set[str]:
     return out
 
 
-NORMAL: dict[bytes, str] = {}
-
-
 def letters(word: str) -> list[int]:
     return [47, *(ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 20 for c in word), 47]
 
