@@ -41,6 +41,10 @@ DECAY = 0.5
 #: Letters a-z, classes of other letters, and the mark of a word's start and end.
 ALPHABET = 48
 BASE = 1 << 6
+#: Bits of a code of four letters, above which its order stands.
+SHIFT = 24
+#: Rows of features that the fit reads at once.
+BLOCK = 4096
 #: Longest piece of a word that is read at once; longer words are read in overlapping pieces.
 LONGEST = 24
 LANDMARKS = 384
@@ -121,39 +125,46 @@ def subsequences(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(i, w / np.sqrt(max(norm, 1e-12))) for i, w in out]
 
 
-def explicit(word: str) -> dict[tuple[int, int], float]:
-    """A word in the kernel's feature space."""
-    out: dict[tuple[int, int], float] = {}
-    for p, (index, weight) in zip(ORDERS, subsequences(np.array([letters(word)[:LONGEST]], np.int64))):
-        for u, x in zip(index[0].tolist(), weight.tolist()):
-            out[(p, u)] = out.get((p, u), 0.0) + x
-    return out
+def explicit(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """A word in the kernel's feature space: codes of its subsequences, with their order, and their weights."""
+    parts = list(zip(ORDERS, subsequences(np.array([letters(word)[:LONGEST]], np.int64))))
+    return np.concatenate([index[0] | (p << SHIFT) for p, (index, _) in parts]), np.concatenate([weight for _, (_, weight) in parts])
 
 
-def kernel(a: list[dict], b: list[dict]) -> np.ndarray:
-    """Inner products of words in feature space, by way of the features that ``b`` has."""
-    columns: dict[tuple[int, int], list[tuple[int, float]]] = {}
-    for j, f in enumerate(b):
-        for u, x in f.items():
-            columns.setdefault(u, []).append((j, x))
-    out = np.zeros((len(a), len(b)))
-    for i, f in enumerate(a):
-        row = out[i]
-        for u, x in f.items():
-            for j, y in columns.get(u, ()):
-                row[j] += x * y
-    return out
+class Landmarks:
+    """Some words' subsequences as the columns of one table."""
+
+    def __init__(self, words: list[str]):
+        feats = [explicit(w) for w in words]
+        self.codes = np.unique(np.concatenate([f[0] for f in feats]))
+        self.table = np.zeros((len(self.codes), len(words)), np.float32)
+        for j, (code, x) in enumerate(feats):
+            np.add.at(self.table[:, j], np.searchsorted(self.codes, code), x)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Inner products of words with the landmarks in feature space, by way of the subsequences that these have."""
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        for i, w in enumerate(words):
+            code, x = explicit(w)
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            known = self.codes[at] == code
+            out[i] = x[known].astype(np.float32) @ self.table[at[known]]
+        return out
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps; y is -1 or 1; the last coefficient is the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    beta = np.zeros(x.shape[1])
-    ridge = np.r_[np.ones(x.shape[1] - 1), 1e-6]
+    """Linear SVM with squared hinge loss by Newton steps, summed over blocks of rows; y is -1 or 1; the last coefficient is the bias."""
+    beta = np.zeros(x.shape[1] + 1)
+    ridge = np.diag(np.r_[np.ones(x.shape[1]), 1e-6])
     for _ in range(steps):
-        live = y * (x @ beta) < 1
-        xs = x[live] * weight[live, None]
-        new = np.linalg.solve(np.diag(ridge) + penalty * xs.T @ x[live], penalty * xs.T @ y[live])
+        left, right = ridge.copy(), np.zeros(len(beta))
+        for at in range(0, len(x), BLOCK):
+            xb, yb, wb = np.c_[x[at : at + BLOCK].astype(float), np.ones(len(x[at : at + BLOCK]))], y[at : at + BLOCK], weight[at : at + BLOCK]
+            live = yb * (xb @ beta) < 1
+            xs = xb[live] * wb[live, None]
+            left += penalty * xs.T @ xb[live]
+            right += penalty * xs.T @ yb[live]
+        new = np.linalg.solve(left, right)
         if np.abs(new - beta).max() < 1e-7:
             break
         beta = new
@@ -185,20 +196,19 @@ def fit(words: list[tuple[str, int, int]], hard: list[tuple[str, int, int]] = ()
     weight[y > 0] *= 1000 / weight[y > 0].sum()
     weight[y < 0] *= 1000 / weight[y < 0].sum()
     weight[len(all_words) - len(worst) :] = np.maximum(weight[len(all_words) - len(worst) :], 1.0)
-    feats = [explicit(w) for w, _ in all_words]
     t, c, h = len(toxic), len(toxic) + len(extra), len(toxic) + len(extra) + len(clean)
     marks = [*range(min(LANDMARKS // 2, t)), *range(c, c + min(LANDMARKS // 4, len(clean))), *range(h, h + min(LANDMARKS // 4, len(worst)))]
-    landmarks = [feats[i] for i in marks]
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+    landmarks = Landmarks([all_words[i][0] for i in marks])
+    values, vectors = np.linalg.eigh(landmarks.kernel([all_words[i][0] for i in marks]).astype(float))
     good = values > 1e-6
     white = vectors[:, good] / np.sqrt(values[good])
-    beta = svm(kernel(feats, landmarks) @ white, y, weight)
-    tables: list[dict[int, float]] = [{} for _ in ORDERS]
-    for a, f in zip(white @ beta[:-1], landmarks):
-        for (p, u), x in f.items():
-            table = tables[ORDERS.index(p)]
-            table[u] = table.get(u, 0.0) + a * x
-    return [(np.fromiter(t_.keys(), np.int64), np.fromiter(t_.values(), np.float32)) for t_ in tables], float(beta[-1])
+    x = landmarks.kernel([w for w, _ in all_words])
+    for at in range(0, len(x), BLOCK):
+        x[at : at + BLOCK, : white.shape[1]] = x[at : at + BLOCK] @ white
+    beta = svm(x[:, : white.shape[1]], y, weight)
+    folded = landmarks.table @ (white @ beta[:-1]).astype(np.float32)
+    order = landmarks.codes >> SHIFT
+    return [(landmarks.codes[order == p] & ((1 << SHIFT) - 1), folded[order == p]) for p in ORDERS], float(beta[-1])
 
 
 class Scorer:
