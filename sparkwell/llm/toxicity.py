@@ -5,8 +5,8 @@ the products of their weights; a subsequence weighs DECAY for each letter it ski
 word with inserted or missing letters stays close to its plain form. Letters between marks (``i.d.i.o.t``),
 runs of single letters (``i d i o t``) and digits that stand for letters are read as one word first.
 
-Training uses the labelled texts cut into words: how many toxic and clean texts hold each word is counted over all
-labelled rows that are not held out. Words that toxic texts hold and clean ones hardly ever do are the witnesses
+Training uses the labelled texts cut into words: how many toxic and clean texts hold each word is counted over the
+labelled rows that are not held out (a sample of at most about ``max_labelled`` by a hash of the id). Words that toxic texts hold and clean ones hardly ever do are the witnesses
 of class 1 (with gapped and padded copies), words of clean texts are class 0. Landmarks come from both.
 Nyström features ``K(w, L) K(L, L)^-1/2`` feed a linear SVM (squared hinge, Newton steps).
 
@@ -55,6 +55,8 @@ MAX_CLEAN = 16000
 ROUNDS = 2
 MAX_HARD = 3000
 LEAST_TEXTS = 3
+#: The fit and the calibration read at most about this many labelled rows, so that their labels (a few MB) can be sent to the texts.
+MAX_LABELLED = 200_000
 PENALTY = 20.0
 CACHE_WORDS = 400_000
 #: Margins are counted for the isotonic curve in cells of this width from -LIMIT to LIMIT.
@@ -261,11 +263,15 @@ def word_margins(fitted: tuple) -> object:
     return work
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Column | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Column | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted, margin): trained on labelled rows that are not held out, applied to all."""
     small_batches(docs.sparkSession)
     out = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    n = known.count()
+    if n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
+    known = F.broadcast(known)
     src = keyed(docs).select("doc_id", "body").withColumn("held_out", out)
     kind = src.schema["doc_id"].dataType.simpleString()
     train = src.where(~F.col("held_out")).join(known, "doc_id").select("body", "y")
