@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import ChainMap, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,15 +77,17 @@ class WordTokenizer:
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split, known = [split_words(b) for b in bodies], self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known = ChainMap({}, known)  # the new ones are forgotten after this batch
+        split = [split_words(b) for b in bodies]
+        distinct = set().union(*split)
+        table = {w: self.known[w] for w in distinct if w in self.known}
+        new = list(distinct.difference(table))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             for word, got in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[word] = array("I", got.ids).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+                table[word] = array("I", got.ids).tobytes()
+        if len(self.known) + len(new) <= CACHE_WORDS:  # else the new ones are forgotten after this batch
+            self.known.update((w, table[w]) for w in new)
+        return [b"".join(map(table.__getitem__, words)) for words in split]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
