@@ -183,6 +183,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _named(marked: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, root, component_id) of all fingerprints."""
+    folded = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = components(similar_pairs(folded.select("fp"), max_distance))
+    rooted = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, _tag, fp, root, component_id): the smallest doc_id among all documents that fingerprint links reach.
 
@@ -193,18 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
     it; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored.
     """
     marked = materialize(fingerprints(docs, shingle), "simhash")
-    folded = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(similar_pairs(folded.select("fp"), max_distance))
-    rooted = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "_tag", "fp", "root", "component_id")
+    return marked.join(_named(marked, max_distance), "fp").select("doc_id", "_tag", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest doc_id (rows without come last)."""
-    groups = near_duplicates(docs, shingle, max_distance)
+    marked = materialize(fingerprints(docs, shingle), "simhash")
     order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), "_tag")
-    stay = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._id").alias("_id"), F.col("o._tag").alias("_tag"))
+    # The first row of each fingerprint is found before the join, so a fingerprint that many rows share meets it once.
+    heads = marked.groupBy("fp").agg(F.min(order).alias("o")).join(_named(marked, max_distance), "fp")
+    stay = heads.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._id").alias("_id"), F.col("o._tag").alias("_tag"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_tag().alias("_tag"))
     # Rows that repeat one another share id and tag: one of them stays.
     return rows.join(stay, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("row").alias("row")).select("row.*")

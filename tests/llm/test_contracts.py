@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from sparkwell.llm import decontaminate
 from tests.llm import brute, fixtures
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = __spark_entry__.queries()
+QUERIES = {k: f for k, f in __spark_entry__.queries().items() if re.match(r"op\d|pipeline", k)}
 ITEMS = [(1, fixtures.prose(31, 60)), (2, fixtures.prose(32, 40)), (3, None), (None, "no id here at all"), (4, "too short"), (5, fixtures.prose(33, 300)), (1, fixtures.prose(31, 60)), (6, "")]
 
 
@@ -58,8 +59,7 @@ def run(spark, name: str, folder: str, *columns: str):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_empty_tables(spark, empty, name):
-    if name.startswith("op") or name == "pipeline":
-        assert QUERIES[name](spark, empty).count() == 0
+    assert QUERIES[name](spark, empty).count() == 0
 
 
 @pytest.mark.parametrize("where", ["awkward", "small"])
@@ -217,3 +217,18 @@ def test_classifiers_score_awkward_rows(spark, awkward, name):
     rows = run(spark, name, awkward, "doc_id", "score", "predicted")
     assert Counter(r["doc_id"] for r in rows) == Counter(d for d, _ in docs_of(awkward))
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_one_of_each(spark, awkward):
+    """Each component keeps the row with its smallest id, with all columns; rows without id come last."""
+    from sparkwell.llm import simhash
+
+    docs = docs_of(awkward)
+    of = brute.components([brute.fingerprint(t) for _, t in docs])
+    first = {}
+    for (d, t), c in zip(docs, of):
+        first[c] = min(first.get(c, (True, 0)), (d is None, d or 0)) if c in first else (d is None, d or 0)
+    source = spark.read.parquet(f"{awkward}/documents.parquet")
+    kept = simhash.one_of_each(source)
+    assert kept.columns == source.columns
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == Counter(first.values())
