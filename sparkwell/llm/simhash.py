@@ -207,9 +207,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest doc_id (rows without come last)."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
+    return first_rows(docs, marked, _named(marked, max_distance).select(F.col("fp").alias("node"), "root"))
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each root; ``marked`` has (doc_id, _tag, fp). A fingerprint that is no ``node`` is its own root."""
     order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), "_tag")
     # The first row of each fingerprint is found before the join, so a fingerprint that many rows share meets it once.
-    heads = marked.groupBy("fp").agg(F.min(order).alias("o")).join(_named(marked, max_distance), "fp")
+    heads = marked.groupBy("fp").agg(F.min(order).alias("o"))
+    heads = heads.join(roots, heads["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "o")
     stay = heads.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._id").alias("_id"), F.col("o._tag").alias("_tag"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_tag().alias("_tag"))
     # Rows that repeat one another share id and tag: one of them stays.
