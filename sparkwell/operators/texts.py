@@ -6,6 +6,7 @@ line-by-line state run in Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -48,14 +49,23 @@ def line_overlap(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("prev_id").isNotNull()).select("doc_id", "prev_id", F.size("own").cast("long").alias("n_lines"), F.size(F.array_intersect("own", "prev")).cast("long").alias("shared"))
 
 
+FOLDED = re.compile(r"((?:[0-9]|x(?=[0-9A-Fa-f]))[0-9A-Fa-f:.x-]*)|(/(?=[A-Za-z0-9.])[^ \t\n\f\r]*)|[ \t\n\f\r]+")
+
+
+def folded(text: str) -> bytes:
+    """The text with numbers, hex ids and times as '#', paths as '/path' and runs of spaces as one; bytes count as characters, as in the reference."""
+    return FOLDED.sub(lambda m: "#" if m[1] else "/path" if m[2] else " ", text.encode().decode("latin-1")).encode()
+
+
 def simhash_trigrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, simhash): the sign of FNV-1a bits over byte 3-grams of the text with its digits and spaces folded."""
+    """(doc_id, simhash): the sign of FNV-1a bits over byte 3-grams of the folded text; a digest of shorter ones, 0 for an empty one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(text: str | None) -> int:
-        raw = np.frombuffer(re.sub(r"\s+", " ", re.sub(r"[0-9]+", "#", text or "")).encode(), np.uint8).astype(np.uint64)
-        if len(raw) < 3:
-            return 0
+        body = folded(text or "")
+        if len(body) < 3:
+            return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little") if body else 0
+        raw = np.frombuffer(body, np.uint8).astype(np.uint64)
         total = np.zeros(64, np.int64)
         for at in range(0, len(raw) - 2, 1 << 16):
             part = raw[at : at + (1 << 16) + 2]
@@ -73,13 +83,28 @@ def simhash_trigrams(docs: DataFrame) -> DataFrame:
 
 
 def simhash_links(hashes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance) of distinct hashes within ``radius`` (up to 3): four 16-bit bands joined on (band, value), verified by bits."""
-    distinct = hashes.where("simhash <> 0").select("simhash").distinct()
+    """(a, b, distance) of distinct hashes within ``radius`` (up to 3)."""
+    return _links(hashes.select("simhash").distinct().withColumn("class_id", F.lit(0)), radius).select("a", "b", "distance")
+
+
+def simhash_class_links(hashes: DataFrame, radius: int = 3) -> DataFrame:
+    """simhash_links with the class ids (see simhash_members) of both sides."""
+    return _links(hashes.groupBy("simhash").agg(F.min("doc_id").alias("class_id")), radius)
+
+
+def _links(classes: DataFrame, radius: int) -> DataFrame:
+    """Links of (simhash, class_id): four 16-bit bands joined on (band, value), verified by bits."""
     band = lambda i: F.shiftrightunsigned(F.col("simhash"), 16 * i).bitwiseAND(F.lit(65535)).cast("int")
-    keyed = distinct.select("simhash", F.posexplode(F.array(*[band(i) for i in range(4)])).alias("band", "value"))
-    left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
+    keyed = classes.where("simhash <> 0").select("simhash", "class_id", F.posexplode(F.array(*[band(i) for i in range(4)])).alias("band", "value"))
+    side = lambda x: keyed.withColumnsRenamed({"simhash": x, "class_id": f"{x}_class"})
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.cast("int").alias("distance")).distinct()
+    return side("a").join(side("b"), ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.cast("int").alias("distance"), "a_class", "b_class").distinct()
+
+
+def simhash_members(hashes: DataFrame) -> DataFrame:
+    """(doc_id, simhash, class_id) of every document; class_id is the smallest doc_id with the same hash."""
+    least = hashes.groupBy("simhash").agg(F.min("doc_id").alias("class_id"))
+    return hashes.join(least, "simhash").select("doc_id", "simhash", "class_id")
 
 
 def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11) -> DataFrame:
@@ -104,8 +129,6 @@ def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11)
         return ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["text"]):

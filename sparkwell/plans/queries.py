@@ -271,7 +271,12 @@ def line_overlap_ratio(spark, d):
 
 @query()
 def simhash_pairs(spark, d):
-    return texts.simhash_links(texts.simhash_trigrams(table(spark, d, "documents")))
+    return texts.simhash_class_links(texts.simhash_trigrams(table(spark, d, "documents")))
+
+
+@query()
+def simhash_members(spark, d):
+    return texts.simhash_members(texts.simhash_trigrams(table(spark, d, "documents")))
 
 
 @query()

@@ -98,3 +98,29 @@ def test_signals_and_digits(spark):
     assert [tuple(r) for r in texts.signal_counts(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
     assert [(r["n"], r["variants"], r["first_id"]) for r in texts.digit_variants(docs).collect()] == [(2, 2, 1)]
     assert [(r["doc_id"], r["pos"], r["line"]) for r in texts.lines(docs).where("doc_id = 2").orderBy("pos").collect()] == [(2, 0, "All fine"), (2, 1, "ERROR 13")]
+
+
+def test_simhash_folds_as_the_reference():
+    pairs = {
+        "at 12:30:05.7 id 3fa9-bc x1f ox": "at # id # # ox",
+        "GET /a/b.c?d=1 then /.x or / y": "GET /path then /path or / y",
+        "a \t\n b\x0bc": "a b\x0bc",
+        "0xffz x9": "#z #",
+    }
+    assert {t: texts.folded(t).decode() for t in pairs} == pairs
+    assert texts.folded("é") == "é".encode().decode("latin-1").encode()
+
+
+def test_simhash_pairs_name_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    members = {r["doc_id"]: r for r in QUERIES["simhash_members"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(members) == rows.count()
+    least = {}
+    for d, r in members.items():
+        least[r["simhash"]] = min(d, least.get(r["simhash"], d))
+    assert all(r["class_id"] == least[r["simhash"]] for r in members.values())
+    links = QUERIES["simhash_pairs"](spark, "/root/testdata/sf0.001").collect()
+    assert all((r["a_class"], r["b_class"]) == (least[r["a"]], least[r["b"]]) for r in links)
+    again = spark.createDataFrame([(1, "ran at 12:30:05 in /tmp/a"), (2, "ran at 9:15:59 in /var/b"), (3, "ok"), (4, "no"), (5, None)], "doc_id long, text string")
+    classes = {r["doc_id"]: r["class_id"] for r in texts.simhash_members(texts.simhash_trigrams(again)).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
