@@ -107,8 +107,11 @@ def simhash_members(hashes: DataFrame) -> DataFrame:
     return hashes.join(least, "simhash").select("doc_id", "simhash", "class_id")
 
 
-def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11) -> DataFrame:
-    """(doc_id, offset, len, hash): content-defined chunks, cut where a rolling sum of byte hashes has low zero bits."""
+def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11, middle: int = 2048) -> DataFrame:
+    """(doc_id, offset, len, hash): content-defined chunks, cut where a rolling sum of byte hashes has low zero bits.
+
+    From ``middle`` bytes on, one zero bit fewer will do. The hash starts anew with each chunk.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     gear = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
 
@@ -118,15 +121,17 @@ def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11)
         g = gear[raw]
         for j in range(min(64, len(raw))):
             h[j:] += g[: len(raw) - j] << np.uint64(j)
-        spots = np.flatnonzero(h & np.uint64((1 << bits) - 1) == 0) + 1
+        # Its low bits depend on the last bytes only, so from ``least`` (over ``bits``) bytes on a chunk's start makes no difference.
+        spots = [np.flatnonzero(h & np.uint64((1 << n) - 1) == 0) + 1 for n in (bits, bits - 1)]
         ends, at = [], 0
-        while len(raw) - at > most or (i := np.searchsorted(spots, at + least)) < len(spots):
-            i = np.searchsorted(spots, at + least)
-            at = min(int(spots[i]) if i < len(spots) else at + most, at + most)
-            ends.append(at)
-            if at >= len(raw):
-                break
-        return ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]
+        while at < len(raw):
+            end = min(at + most, len(raw))
+            for found, size in zip(spots, (least, middle)):
+                i = np.searchsorted(found, at + size)
+                if i < len(found):
+                    end = min(end, int(found[i]))
+            ends.append(at := end)
+        return ends
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

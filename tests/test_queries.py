@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
 
 import duckdb
@@ -124,3 +125,24 @@ def test_simhash_pairs_name_documents(spark):
     again = spark.createDataFrame([(1, "ran at 12:30:05 in /tmp/a"), (2, "ran at 9:15:59 in /var/b"), (3, "ok"), (4, "no"), (5, None)], "doc_id long, text string")
     classes = {r["doc_id"]: r["class_id"] for r in texts.simhash_members(texts.simhash_trigrams(again)).collect()}
     assert classes == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_chunks_cut_as_byte_by_byte(spark):
+    rng = random.Random(3)
+    letters = "abcdefghij klmnop\né"
+    docs = [(i, "".join(rng.choices(letters, k=n))) for i, n in enumerate([1, 511, 512, 513, 2047, 2049, 8191, 8193, 60_000, 60_000, 200_000])]
+    docs += [(100, "a" * 30_000)] + duckdb.sql("SELECT doc_id + 1000, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    want, by_middle = [], 0
+    for d, text in docs:
+        body = (text or "").encode()
+        start = h = 0
+        for i, b in enumerate(body):
+            h = ((h << 1) + (b + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+            size = i - start + 1
+            middle = size >= 2048 and h & 1023 == 0
+            if size >= 8192 or (size >= 512 and h & 2047 == 0) or middle or i + 1 == len(body):
+                by_middle += middle and h & 2047 != 0 and size < 8192
+                want.append((d, start, size))
+                start, h = i + 1, 0
+    got = texts.chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert by_middle and sorted((r["doc_id"], r["offset"], r["len"]) for r in got) == sorted(want)
