@@ -7,12 +7,15 @@ line-by-line state run in Arrow batches.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -195,6 +198,33 @@ def tfidf(docs: DataFrame, query: list[str], k: int = 16) -> DataFrame:
     return scored.groupBy("doc_id").agg((F.round(F.sum(F.col("tf") / F.col("len") * idf) * 1e9) / 1e9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def tfidf_containing(docs: DataFrame, query: list[str], k: int = 16) -> DataFrame:
+    """TF-IDF by the reference's rules: tokens that hold a term or are held in it (2 or more characters) count too.
+
+    A term's df is its own or, if no text has it, the greatest of its matching tokens; longer terms weigh more.
+    """
+    terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), TERM, -1), lambda t: t != "")
+
+    def match(t: Column, q: str) -> Column:
+        return (t == q) | ((F.char_length(t) >= 2) & (t.contains(q) | F.lit(q).contains(t))) if len(q) >= 2 else t == q
+
+    def holding(q: str) -> Callable[[Column], Column]:
+        return lambda t: match(t, q)
+
+    rows = docs.select("doc_id", terms.alias("terms"))
+    tokens = rows.select(F.explode(F.array_distinct(F.filter("terms", lambda t: reduce(or_, (match(t, q) for q in query))))).alias("t"))
+    df = tokens.groupBy("t").agg(F.count("*").alias("n"))
+    own, any_ = [F.max(F.when(F.col("t") == q, F.col("n"))) for q in query], [F.max(F.when(match(F.col("t"), q), F.col("n"))) for q in query]
+    dfs = df.agg(*[F.coalesce(a, b, F.lit(0)).alias(f"df{i}") for i, (a, b) in enumerate(zip(own, any_))]).first()
+    n = docs.count()
+    score = F.lit(0.0)
+    for q, d in zip(query, dfs):
+        hits = F.size(F.filter("terms", holding(q)))
+        score += hits / F.greatest(F.size("terms"), F.lit(1)) * max(math.log((n + 1) / (d + 1)), 0.0) * (0.6 if len(q) <= 2 else 1.0 if len(q) <= 5 else 1.3)
+    hit = F.exists("terms", lambda t: reduce(or_, (match(t, q) for q in query)))
+    return rows.where(hit).select("doc_id", (F.round(score * 1e9) / 1e9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def overlap(docs: DataFrame, query: list[str], k: int = 16) -> DataFrame:
     """Documents by the query terms they contain, longer terms weighing more."""
     body = F.lower(F.coalesce("text", F.lit("")))

@@ -302,6 +302,11 @@ def tfidf_rank(spark, d):
     return texts.tfidf(table(spark, d, "documents"), TERMS)
 
 
+@query()
+def tfidf_rank_containing(spark, d):
+    return texts.tfidf_containing(table(spark, d, "documents"), TERMS)
+
+
 @query("""SELECT doc_id, CAST(2 * contains(b, 'idiot')::INT + 2 * contains(b, 'the')::INT + 2 * contains(b, 'and')::INT + 3 * contains(b, 'menteau')::INT AS BIGINT) AS score
   FROM (SELECT doc_id, lower(coalesce(text, '')) AS b FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 16""")
 def overlap_rank(spark, d):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -146,3 +148,20 @@ def test_chunks_cut_as_byte_by_byte(spark):
                 start, h = i + 1, 0
     got = texts.chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert by_middle and sorted((r["doc_id"], r["offset"], r["len"]) for r in got) == sorted(want)
+
+
+def test_tfidf_counts_tokens_that_contain(spark):
+    docs = [(1, "idiots all around"), (2, "idiotic idiotic words and more"), (3, "men spoke"), (4, None), (5, "other words only"), (6, "ment a q")]
+    query = ["idiot", "and", "menteau", "q"]
+    tokens = {d: re.findall(r"\w+", (t or "").lower()) for d, t in docs}
+    match = lambda t, q: t == q or (min(len(t), len(q)) >= 2 and (q in t or t in q))
+    df = Counter(t for ts in tokens.values() for t in set(ts))
+    want = {}
+    for d, ts in tokens.items():
+        for q in query:
+            if hits := sum(match(t, q) for t in ts):
+                of = df.get(q) or max(n for t, n in df.items() if match(t, q))
+                want[d] = want.get(d, 0) + hits / len(ts) * max(math.log((len(docs) + 1) / (of + 1)), 0) * (0.6 if len(q) <= 2 else 1 if len(q) <= 5 else 1.3)
+    got = texts.tfidf_containing(spark.createDataFrame(docs, "doc_id long, text string"), query).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == {d: pytest.approx(s, abs=1e-8) for d, s in want.items()} and set(want) == {1, 2, 3, 6}
+    assert len(QUERIES["tfidf_rank_containing"](spark, FOLDER).collect()) == 16
