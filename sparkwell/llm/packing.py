@@ -12,14 +12,13 @@ they fall into. The starts are running sums of small totals by task and source.
 ids are written to the shared folder. A source may hold any share of the rows: queues are never gathered.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed one by one; rows without a
-source share a queue; sources under 1/256 of all tokens share one queue too; an empty table gives an empty
+source share a queue; sources under 1/256 of all tokens that no mixture names share one queue too; an empty table gives an empty
 result; columns besides ``doc_id``, ``text`` and ``source`` are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,40 +26,50 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwell.llm.common import materialize, small_batches, worker_memory
+from sparkwell.llm.common import materialize, small_batches
 
 SEQUENCE = 4096
 END_ID = 2
-#: Queues of their own go to sources with at least this share of all tokens; bounds the plan.
+#: Queues of their own go to sources with at least this share of all tokens, or that a mixture names; bounds the plan.
 LEAST_SHARE = 256
-#: Distinct words whose ids a worker remembers, from task to task.
-CACHE_WORDS = 800_000
+#: Bytes of words and ids that a task remembers, with the overhead of a dictionary's entry.
+MEMORY_BYTES, ENTRY_BYTES = 64 << 20, 160
 #: Rows of task and source totals up to which they are broadcast (about 10 MB); beyond, Spark shuffles for the join.
 BROADCAST_ROWS = 100_000
 #: A mark after a letter or digit is a token of its own in any case; apart, the word before it is met more often.
 TRAILING = re.compile(rb"(?<=[A-Za-z0-9])([.,]+)(?=[\x09-\x0d ]|$)")
-
-
-#: Byte classes that tell whether every final mark follows an ASCII letter or digit, so that plain replacement is enough.
+#: A final mark that follows neither an ASCII letter or digit nor a Latin letter in two bytes: plain replacement won't do.
+ODD = re.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[\x09-\x0d ]|$)")
+#: Byte classes that tell texts in which ODD needs no search.
 CLASSES = bytes(97 if chr(b).isalnum() and b < 128 else 100 if b in b".," else 32 if b in b"\t\n\x0b\x0c\r " else 112 for b in range(256))
-
-
-def split_words(body: bytes) -> list[bytes]:
-    """Words of a text with their final marks apart and A-Z lower-cased, which this kind of tokenizer does itself."""
+#: Stands between words that are tokenized in one call; it is one token that no other word yields.
+BETWEEN = b"|"
+TOGETHER = 2000
+#: Words whose ids are put in place at once; bounds memory on very long texts.
+STEP = 1 << 20
+LETTERS = re.compile(rb"[a-z]+").fullmatch
+#: What WordTokenizer relies on, tried before it is used.
+TRIAL = "Plain words, and MORE of them. don't 12.5, (a,b).. naïve, É. «x». 日本語、テスト。 a|b |c| x_y e\u0301. \ufb01n, ??! #$%&* ünï.\r\n\tthe end."
+
+
+def spaced(body: bytes) -> bytes:
+    """A text with its words' final marks apart and A-Z lower-cased, which this kind of tokenizer does itself."""
     if b"<|" not in body:  # may be a special token, whose letters count
         body = body.lower()
     kinds = body.translate(CLASSES)
-    if b"pd" in kinds or b"dd" in kinds:
-        return TRAILING.sub(rb" \1", body).split()
+    if (b"pd" in kinds or b"dd" in kinds) and ODD.search(body):
+        return TRAILING.sub(rb" \1", body)
     for mark in (b".", b","):
         body = body.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
-    return body.split()
+    return body
 
 
 class WordTokenizer:
@@ -73,28 +82,69 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = worker_memory(f"ids-{zlib.crc32(definition.encode())}")
+        self.known: dict[bytes, bytes] = {}
+        self.room = MEMORY_BYTES
+        between = self.model.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words, letters by the model alone and others many a call."""
+        merge = self.model.model.tokenize
+        out = {w: array("I", [t.id for t in merge(w.decode())]).tobytes() for w in new if LETTERS(w)}
+        plain = [] if self.between is None else [w for w in new if w not in out and BETWEEN not in w and b"<|" not in w]
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            joined = (b" " + BETWEEN + b" ").join(part).decode("utf-8", "replace")
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, [*np.flatnonzero(ids == self.between).tolist(), len(ids)]):
+                out[word] = raw[4 * start : 4 * end]
+                start = end + 1
+        for word in new:
+            if word not in out:
+                out[word] = self.whole(word.decode("utf-8", "replace"))
+        return out
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        split = [split_words(b) for b in bodies]
-        distinct = set().union(*split)
-        table = {w: self.known[w] for w in distinct if w in self.known}
-        new = list(distinct.difference(table))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                table[word] = array("I", got.ids).tobytes()
-        if len(self.known) + len(new) <= CACHE_WORDS:  # else the new ones are forgotten after this batch
-            self.known.update((w, table[w]) for w in new)
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        """Little-endian uint32 ids of each text: each distinct word of the batch is looked up once, the rest are NumPy look-ups."""
+        split = pc.ascii_split_whitespace(pa.array([spaced(b) for b in bodies], pa.large_binary()).cast(pa.large_string(), safe=False))
+        ends, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        found = list(map(self.known.get, distinct))
+        new = self.words([w for w, i in zip(distinct, found) if i is None])
+        if self.room > 0:  # else the new ones are forgotten after this batch
+            self.known.update(new)
+            self.room -= sum(len(w) + len(i) + ENTRY_BYTES for w, i in new.items())
+        found = [new[w] if i is None else i for w, i in zip(distinct, found)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4")
+        codes, out, before = coded.indices.to_numpy(), [], np.zeros(len(coded) + 1, np.int64)
+        for at in range(0, len(codes), STEP):
+            part = codes[at : at + STEP]
+            n = size[part]
+            last = np.cumsum(n)
+            out.append(pool[np.repeat(start[part] - last + n, n) + np.arange(last[-1])].tobytes())
+            before[at + 1 : at + 1 + len(part)] = before[at] + last
+        ids, edge = b"".join(out), (4 * before[ends]).tolist()
+        return [ids[a:b] for a, b in zip(edge, edge[1:])]
+
+    def check(self) -> None:
+        """Raise if ids by words differ from ids of the whole text: a tokenizer of another kind."""
+        for text in (TRIAL, TRIAL.upper(), TRIAL.replace(" ", "  ")):
+            if self.encode([text.encode()])[0] != self.whole(text):
+                raise ValueError("this tokenizer doesn't read texts word by word in lower case")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """(task, source, before, doc_id, n_tokens, ids): ``before`` counts the source's tokens earlier in the task."""
     small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
-        definition = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, a few MB
+        text = f.read()
+    WordTokenizer(text).check()
+    definition = docs.sparkSession.sparkContext.broadcast(text)  # one vocabulary file, a few MB
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     src = docs.select("doc_id", source.alias("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -222,11 +272,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, mixture: dict[st
     by_source = tokens.groupBy("task", "source").agg(F.sum("n_tokens").alias("n"))
     totals = by_source.groupBy("source").agg(F.sum("n").alias("n"))
     grand = totals.agg(F.sum("n")).first()[0] or 0
-    # At most LEAST_SHARE rows reach the driver, whatever the number of sources.
-    large = sorted((r["source"], int(r["n"])) for r in totals.where(F.col("n") * LEAST_SHARE >= grand).collect())
+    # At most LEAST_SHARE rows and those of the mixture reach the driver, whatever the number of sources.
+    own = F.col("n") * LEAST_SHARE >= grand
+    if mixture:
+        own |= F.col("source").isin(list(mixture))
+    large = sorted((r["source"], int(r["n"])) for r in totals.where(own).collect())
     names = [s for s, _ in large]
     counts = [n for _, n in large] + [grand - sum(n for _, n in large)]
-    targets = [float(n) for n in counts] if mixture is None else [mixture.get(s, 0.0) for s in names] + [sum(w for s, w in mixture.items() if s not in names)]
+    targets = [float(n) for n in counts] if mixture is None else [mixture.get(s, 0.0) for s in names] + [0.0]
     phases, used, windows = plan(counts, targets)
     left = np.array(counts, np.int64) - used
     tail_at = np.cumsum(left) - left
