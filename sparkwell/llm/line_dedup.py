@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwell.llm.common import SPACES, partitions, row_tag
+from sparkwell.llm.common import SPACES, partitions, row_id, row_tag
 
 SLICES = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,10 +34,11 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_id, _tag, lines, doc_id, text, row): one row per input row."""
+    """(_id, _tag, _none, lines, doc_id, text, row): one row per input row; _none: it has no doc_id."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"),
+        row_id().alias("_id"),
         row_tag().alias("_tag"),
+        F.col("doc_id").isNull().alias("_none"),
         F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1).alias("lines"),
         F.col("doc_id"),
         F.col("text"),
@@ -51,18 +52,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     ``dropped`` is an array of (first, last) positions, counted from 0; rows that keep all lines have no row.
     """
     n = partitions(docs.sparkSession)
+    document = F.when(~F.col("_none"), F.col("_id"))  # rows without doc_id are one
     hashes = (
         _lines(docs)
-        .select("_id", "_tag", F.posexplode("lines").alias("pos", "line"))
-        .select("_id", "_tag", "pos", line_key(F.col("line")).alias("key"))
+        .select("_id", "_tag", "_none", F.posexplode("lines").alias("pos", "line"))
+        .select("_id", "_tag", "_none", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("_id", "_tag", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.hash("_id"), F.lit(SLICES)).cast("byte").alias("slice"))
+        .select("_id", "_tag", "_none", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.hash(document), F.lit(SLICES)).cast("byte").alias("slice"))
     )
-    stream = lambda *keys: F.first("_id").over(Window.partitionBy(*keys).orderBy("_id", "_tag", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    stream = lambda *keys: F.first(document).over(Window.partitionBy(*keys).orderBy("_none", "_id", "_tag", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    of_first = document.eqNullSafe(F.col("first"))
     sliced = hashes.repartitionByRange(n, "h1", "h2", "slice").withColumn("first", stream("h1", "h2", "slice"))
-    heads = sliced.where(F.col("_id") == F.col("first")).drop("first", "slice")
+    heads = sliced.where(of_first).drop("first", "slice")
     ranged = heads.repartitionByRange(n, "h1", "h2").withColumn("first", stream("h1", "h2"))
-    lost = sliced.where(F.col("_id") != F.col("first")).select("_id", "_tag", "pos").unionByName(ranged.where(F.col("_id") != F.col("first")).select("_id", "_tag", "pos"))
+    lost = sliced.where(~of_first).select("_id", "_tag", "pos").unionByName(ranged.where(~of_first).select("_id", "_tag", "pos"))
     by_row = Window.partitionBy("_id", "_tag").orderBy("pos")
     # Rows that repeat one another lose the same lines: dense_rank counts a position once.
     runs = lost.withColumn("run", F.col("pos") - F.dense_rank().over(by_row)).groupBy("_id", "_tag", "run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))

@@ -20,8 +20,10 @@ from sparkwell.llm.common import partitions
 
 #: Entries that a task gathers before it folds and sends them.
 FLUSH = 1_000_000
-ENTRY = np.dtype([("key", "<u8"), ("check", "<u4"), ("id", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("len", "<i4"), ("flag", "u1")])
-MARK = np.dtype([("id", "<i8"), ("tag", "<i4"), ("pos", "<i4"), ("len", "<i4"), ("kind", "u1")])
+#: Bytes of text whose entries meet in one bucket, which a task holds in memory.
+BUCKET_BYTES = 64 << 20
+ENTRY = np.dtype([("key", "<u8"), ("check", "<u4"), ("id", "<i8"), ("tag", "<i8"), ("pos", "<i4"), ("len", "<i4"), ("flag", "u1")])
+MARK = np.dtype([("id", "<i8"), ("tag", "<i8"), ("pos", "<i4"), ("len", "<i4"), ("kind", "u1")])
 #: Entry flags: alone in its task, one of several equal ones, or of several unlike ones (no answer wanted).
 ALONE, SEVERAL, MIXED = 0, 1, 2
 #: Mark kinds: all that the entry covers is repeated; some of it may be.
@@ -145,9 +147,14 @@ def answer(e: np.ndarray, strict: bool) -> np.ndarray:
     return np.concatenate([_marks(e[more & ~mixed[group]], WHOLE), _marks(e[more & mixed[group]], EDGE)])
 
 
-def repeats(source: DataFrame, scan: Callable[[pd.DataFrame], Iterator[np.ndarray]], strict: bool) -> DataFrame:
-    """(_id, _tag, marks): for each document with marked entries, its marks in order, packed as MARK."""
-    n = partitions(source.sparkSession)
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for a corpus (column ``body``): each gets the entries of at most about BUCKET_BYTES of text, whatever the corpus's size."""
+    size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def repeats(source: DataFrame, scan: Callable[[pd.DataFrame], Iterator[np.ndarray]], strict: bool, n: int) -> DataFrame:
+    """(_id, _tag, marks): for each document with marked entries, its marks in order, packed as MARK. ``n``: buckets."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -185,7 +192,7 @@ def repeats(source: DataFrame, scan: Callable[[pd.DataFrame], Iterator[np.ndarra
     packed = "bucket int, kind byte, blob binary"
     sent = source.mapInPandas(send, packed)
     met = sent.groupBy("bucket").applyInPandas(meet, packed)
-    return met.groupBy("bucket").applyInPandas(regroup, "_id long, _tag int, marks binary")
+    return met.groupBy("bucket").applyInPandas(regroup, "_id long, _tag long, marks binary")
 
 
 def squeezed(docs: DataFrame) -> DataFrame:

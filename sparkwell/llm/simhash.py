@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import keyed, materialize, row_tag, small_batches
+from sparkwell.llm.common import discard, keyed, materialize, row_id, row_tag, small_batches, written
 
 SHINGLE = 3
 SEED = 42
@@ -128,17 +128,17 @@ def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, _tag, fp): fp is the fingerprint as a signed long."""
+    """(_id, doc_id, _tag, fp): fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    src = keyed(docs).select("doc_id", "_tag", "body")
+    src = keyed(docs).select("_id", "doc_id", "_tag", "body")
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(b, shingle) for b in pdf["body"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "_tag": pdf["_tag"], "fp": fps.view(np.int64)})
+            yield pdf[["_id", "doc_id", "_tag"]].assign(fp=fps.view(np.int64))
 
-    return src.mapInPandas(work, f"doc_id {kind}, _tag int, fp long")
+    return src.mapInPandas(work, f"_id long, doc_id {kind}, _tag long, fp long")
 
 
 def similar_pairs(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -167,16 +167,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each step hooks nodes onto the smallest neighbour by a grouped minimum and a join, so no node's
     neighbours meet in one place; the steps' tables are written to the shared folder.
     """
-    state, before = materialize(edges.select(F.col("a").alias("lo"), F.col("b").alias("hi")), "star"), None
+    (state, path), before = written(edges.select(F.col("a").alias("lo"), F.col("b").alias("hi")), "star"), None
     while True:
         both = state.unionByName(state.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy(F.col("lo").alias("node")).agg(F.min("hi").alias("m")).select("node", F.least("node", "m").alias("m"))
         large = both.join(least, both["lo"] == least["node"]).where("hi > lo").select(F.col("m").alias("lo"), "hi").distinct()
-        large = materialize(large.where("lo < hi"), "star")
+        large, large_path = written(large.where("lo < hi"), "star")
         floor = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
         joined = large.join(floor, large["hi"] == floor["node"])
         small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionByName(floor.select(F.col("m").alias("lo"), F.col("node").alias("hi"))).distinct()
-        state = materialize(small, "star")
+        old, (state, path) = path, written(small, "star")
+        for done in (old, large_path):
+            discard(edges.sparkSession, done)
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == before:
             return state.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
@@ -211,12 +213,12 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX
 
 
 def first_rows(docs: DataFrame, marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """The first row of ``docs`` of each root; ``marked`` has (doc_id, _tag, fp). A fingerprint that is no ``node`` is its own root."""
-    order = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), "_tag")
+    """The first row of ``docs`` of each root; ``marked`` has (_id, doc_id, _tag, fp). A fingerprint that is no ``node`` is its own root."""
+    order = F.struct(F.col("doc_id").isNull(), "_id", "_tag")
     # The first row of each fingerprint is found before the join, so a fingerprint that many rows share meets it once.
     heads = marked.groupBy("fp").agg(F.min(order).alias("o"))
     heads = heads.join(roots, heads["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "o")
     stay = heads.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o._id").alias("_id"), F.col("o._tag").alias("_tag"))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_tag().alias("_tag"))
+    rows = docs.select(F.struct("*").alias("row"), row_id().alias("_id"), row_tag().alias("_tag"))
     # Rows that repeat one another share id and tag: one of them stays.
     return rows.join(stay, ["_id", "_tag"], "left_semi").groupBy("_id", "_tag").agg(F.first("row").alias("row")).select("row.*")

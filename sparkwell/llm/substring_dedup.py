@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from sparkwell.llm.common import keyed, small_batches
-from sparkwell.llm.repeats import M1, MARK, combine, entries, refine, repeats, scramble, seeds, spread, squeezed, unpack, unsqueeze
+from sparkwell.llm.repeats import M1, MARK, bucket_count, entries, refine, repeats, scramble, seeds, spread, squeezed, unpack, unsqueeze
 
 WINDOW = 35
 PERIOD = 21
@@ -65,7 +65,7 @@ def _batch(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _entries(pdf: pd.DataFrame, row: np.ndarray, at: np.ndarray, key: np.ndarray, check: np.ndarray | int) -> np.ndarray:
     e = entries(len(row))
-    e["id"], e["tag"] = pdf["_id"].to_numpy(np.int64)[row], pdf["_tag"].to_numpy(np.int32)[row]
+    e["id"], e["tag"] = pdf["_id"].to_numpy(np.int64)[row], pdf["_tag"].to_numpy(np.int64)[row]
     e["pos"], e["key"], e["check"], e["len"] = at, key, check, 1
     return e
 
@@ -99,9 +99,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     src = keyed(docs)
     kind = src.schema["doc_id"].dataType.simpleString()
-    anchors = repeats(src.select("_id", "_tag", "body"), scan_anchors, strict=True)
+    n = bucket_count(src)
+    anchors = repeats(src.select("_id", "_tag", "body"), scan_anchors, True, n)
     moved = squeezed(src)
-    windows = repeats(moved.select("_id", "_tag", "body").join(anchors, ["_id", "_tag"]), scan_windows, strict=True)
+    windows = repeats(moved.select("_id", "_tag", "body").join(anchors, ["_id", "_tag"]), scan_windows, True, n)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from sparkwell.llm.common import keyed, materialize, small_batches
-from sparkwell.llm.repeats import EDGE, MARK, WHOLE, entries, refine, repeats, scramble, seeds, spread, squeezed, unpack, unsqueeze
+from sparkwell.llm.repeats import EDGE, MARK, WHOLE, bucket_count, entries, refine, repeats, scramble, seeds, spread, squeezed, unpack, unsqueeze
 
 WINDOW = 400
 FIRST = 16
@@ -54,7 +54,7 @@ def _joined(bodies: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def _rows(pdf: pd.DataFrame, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
     e = entries(len(row))
-    e["id"], e["tag"], e["pos"] = pdf["_id"].to_numpy(np.int64)[row], pdf["_tag"].to_numpy(np.int32)[row], pos
+    e["id"], e["tag"], e["pos"] = pdf["_id"].to_numpy(np.int64)[row], pdf["_tag"].to_numpy(np.int64)[row], pos
     return e
 
 
@@ -110,9 +110,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     src = keyed(docs)
     kind = src.schema["doc_id"].dataType.simpleString()
-    runs = materialize(repeats(src.select("_id", "_tag", "body"), scan_runs, strict=False), "suffix-runs")
+    n = bucket_count(src)
+    runs = materialize(repeats(src.select("_id", "_tag", "body"), scan_runs, False, n), "suffix-runs")
     moved = squeezed(src)
-    edges = repeats(moved.select("_id", "_tag", "body").join(runs, ["_id", "_tag"]), scan_edges, strict=True)
+    edges = repeats(moved.select("_id", "_tag", "body").join(runs, ["_id", "_tag"]), scan_edges, True, n)
     found = runs.join(edges.withColumnRenamed("marks", "single"), ["_id", "_tag"], "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import keyed, materialize, small_batches, worker_memory
+from sparkwell.llm.common import keyed, materialize, small_batches
 from sparkwell.llm.quality_classifier import isotonic
 
 ORDERS = (3, 4)
@@ -66,10 +66,13 @@ EDGE_MARKS = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 INNER_MARKS = re.compile(r"[\W_]+")
 
 
+WORDS: dict = {}
+
+
 def normal_words(body: bytes) -> set[str]:
     """The distinct words of a text as the kernel reads them."""
     out, singles = set(), []
-    known = worker_memory("normal-words")
+    known = WORDS
     for raw in body.split() + [b""]:
         word = known.get(raw)
         if word is None:

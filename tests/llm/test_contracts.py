@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -89,7 +94,8 @@ def cell_wise(docs: list[tuple], items: list[tuple]) -> set[tuple]:
     out = set()
     for i, text in items:
         w = plain(text)
-        parts = [w[k : k + decontaminate.PASSAGE] for k in range(0, max(1, len(w) - decontaminate.LEAST_WORDS + 1), decontaminate.PASSAGE)] if i is not None and len(w) >= decontaminate.LEAST_WORDS else []
+        starts = range(0, max(1, len(w) - decontaminate.LEAST_WORDS + 1), decontaminate.PASSAGE)
+        parts = [w[k : k + decontaminate.PASSAGE if k < starts[-1] else len(w)] for k in starts] if i is not None and len(w) >= decontaminate.LEAST_WORDS else []
         for p in parts:
             for d, t in docs:
                 words = plain(t)
@@ -108,8 +114,10 @@ def test_decontamination(spark, awkward):
 def test_decontamination_in_blocks(spark, awkward):
     """Any number of blocks gives the same hits."""
     docs, items = spark.read.parquet(f"{awkward}/documents.parquet"), spark.read.parquet(f"{awkward}/benchmark.parquet")
-    rows = lambda b: bag(decontaminate.mark(docs, items, block_bytes=b).selectExpr("row.doc_id", "inline(hits)").select("doc_id", "item_id").collect())
+    rows = lambda b: bag(decontaminate.contaminated(docs, items, block_bytes=b).select("doc_id", "item_id").collect())
     assert rows(200) == rows(8_000_000)
+    ids = lambda b: bag(decontaminate.clean(docs, items, block_bytes=b).select("doc_id").collect())
+    assert ids(200) == ids(8_000_000) == bag((d,) for d, _ in docs_of(awkward) if d not in (50, 51, 52, 54))
 
 
 def test_decontamination_small_table(spark):
@@ -232,3 +240,49 @@ def test_one_of_each(spark, awkward):
     kept = simhash.one_of_each(source)
     assert kept.columns == source.columns
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == Counter(first.values())
+
+
+def test_rows_without_id_are_told_apart(spark):
+    """Texts whose 32-bit hashes collide stay two documents."""
+    from sparkwell.llm import line_dedup, simhash, substring_dedup, suffix_dedup
+
+    pair = ["a line number 125468", "a line number 55606"]
+    assert len({spark.range(1).select(F.hash(F.lit(True), F.lit(t))).first()[0] for t in pair}) == 1
+    docs = spark.createDataFrame([(None, t) for t in pair] + [(None, pair[0] + "\n" + fixtures.prose(1, 200)), (7, pair[0]), (7, pair[1])], "doc_id long, text string")
+    lost = {(r["doc_id"], r["text"]): r["n_dropped"] for r in line_dedup.drop_lines(docs).collect()}
+    assert lost[None, pair[0]] == lost[None, pair[1]] == 1 and lost[7, pair[0]] == lost[7, pair[1]] == 0
+    assert simhash.one_of_each(docs.where("doc_id is null"), max_distance=0).count() == 3
+    for drop in (suffix_dedup.drop_repeats, substring_dedup.drop_repeats):
+        assert drop(docs).count() == 5 and drop(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_long_url(spark):
+    from sparkwell.llm.queries import URL_RULES
+    from sparkwell.llm.url_filter import filter_urls
+
+    urls = [(i, f"http://example.com/fr/{i}") for i in range(2000)] + [(-1, "http://example.com/de/" + "x" * 300_000), (-2, "http://" + "a" * 200_000 + ".casino.net")]
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(spark.createDataFrame(urls, "page_id long, url string"), URL_RULES).select("page_id", "verdict").collect()}
+    assert got.pop(-1) == got.pop(-2) == "block" and set(got.values()) == {"allow"} and len(got) == 2000
+
+
+def test_other_tokenizers_are_refused():
+    from sparkwell.llm.packing import WordTokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        WordTokenizer(f.read()).check()
+
+
+def test_workers_need_no_package(awkward, tmp_path):
+    """The package is on the driver's path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from sparkwell.llm import decontaminate
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs, items = (spark.read.parquet({awkward!r} + f"/{{t}}.parquet") for t in ("documents", "benchmark"))
+print("rows", decontaminate.contaminated(docs, items).count(), docs.count() - decontaminate.clean(docs, items).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 4 4" in done.stdout, done.stderr[-3000:]
