@@ -5,7 +5,8 @@ every rule at once, over a whole batch of URLs: ``D = ((D << 1) | start) & match
 Shifts carry from word to word, so rules may be of any number and length.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the
-method's verdict for an empty url (allow). Repeated pages are judged one by one; an empty table gives an
+method's verdict for an empty url (allow). Very long urls are read whole, in blocks
+of urls of like length. Repeated pages are judged one by one; an empty table gives an
 empty result; columns besides ``page_id`` and ``url`` are ignored.
 """
 
@@ -19,9 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwell.llm.common import small_batches
+
 #: Ends the host in the canonical form; lies outside the byte alphabet, so no url can contain it.
 HOST_END = 256
 STAR = -1
+#: Cells of two bytes in the table of urls that are stepped through together.
+GRID = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -88,10 +93,20 @@ class Automaton:
     def match(self, urls: list[np.ndarray]) -> np.ndarray:
         """bool[url, glob]. Urls are taken in order of length, so that no step runs on urls that have ended."""
         order = np.argsort([-len(u) for u in urls], kind="stable")
-        lengths = np.array([len(urls[i]) for i in order], np.int64)
+        found = np.empty((len(urls), len(self.finals)), bool)
+        at = 0
+        while at < len(order):  # a block of urls takes at most GRID cells, or is one url
+            rows = max(1, GRID // max(1, len(urls[order[at]])))
+            found[order[at : at + rows]] = self._block([urls[i] for i in order[at : at + rows]])
+            at += rows
+        return found
+
+    def _block(self, urls: list[np.ndarray]) -> np.ndarray:
+        """``match`` of urls that get no longer."""
+        lengths = np.array([len(u) for u in urls], np.int64)
         grid = np.zeros((len(urls), int(lengths[0]) if len(urls) else 0), np.int16)
-        for r, i in enumerate(order):
-            grid[r, : lengths[r]] = urls[i]
+        for r, u in enumerate(urls):
+            grid[r, : lengths[r]] = u
         state = np.tile(self.start, (len(urls), 1))
         for j in range(grid.shape[1]):
             live = int(np.searchsorted(-lengths, -j, side="left"))  # urls longer than j come first
@@ -102,7 +117,7 @@ class Automaton:
             state[:live] = (moved & self.by_symbol[grid[:live, j]]) | (d & self.star)
         found = np.empty((len(urls), len(self.finals)), bool)
         for g, f in enumerate(self.finals):
-            found[order, g] = (state[:, f // 64] >> np.uint64(f % 64)) & np.uint64(1) == 1
+            found[:, g] = (state[:, f // 64] >> np.uint64(f % 64)) & np.uint64(1) == 1
         return found
 
 
@@ -122,6 +137,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], globs: Iterable[str] = DEFA
     The longest fitting rule decides (of two equally long ones the one with the longer host, then the
     earlier). Where none fits, a url whose host fits one of ``globs`` is blocked and any other gets ``default``.
     """
+    small_batches(pages.sparkSession, rows=10_000)
     ranked = sorted(rules, key=lambda r: (-len(r.text), -len(r.host)))
     machine = Automaton([*map(symbols_of_rule, ranked), *map(symbols_of_glob, globs)])
     n = len(ranked)
