@@ -69,6 +69,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linenumber").cast("long") * 50).alias("cache_write_1h"),
         (F.col("l_linenumber").cast("long") * 100).alias("reasoning_tokens"),
         (F.col("l_linenumber") == 7).alias("is_compaction"),
+        F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") * 1.5).alias("quota_used_pct"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("")).when(F.col("l_linenumber") % 3 == 1, F.lit("plus")).otherwise(F.lit("pro")).alias("plan_type"),
     )
 
 
@@ -97,6 +99,7 @@ TURNS_SQL = """turns AS (
          CASE l_returnflag WHEN 'A' THEN 'claude-sonnet-4-5' WHEN 'N' THEN 'gpt-5' ELSE 'deepseek-chat' END AS model,
          CAST(l_quantity AS BIGINT) * 1000 AS input_tokens, CAST(l_quantity AS BIGINT) * 37 AS output_tokens,
          CAST(round(l_discount * 100) AS BIGINT) * 700 AS cache_read_tokens, CAST(round(l_tax * 100) AS BIGINT) * 200 AS cache_write_5m,
-         CAST(l_linenumber AS BIGINT) * 50 AS cache_write_1h, CAST(l_linenumber AS BIGINT) * 100 AS reasoning_tokens, l_linenumber = 7 AS is_compaction
+         CAST(l_linenumber AS BIGINT) * 50 AS cache_write_1h, CAST(l_linenumber AS BIGINT) * 100 AS reasoning_tokens, l_linenumber = 7 AS is_compaction,
+         CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity * 1.5 END AS quota_used_pct, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'plus' ELSE 'pro' END AS plan_type
   FROM lineitem
 )"""
