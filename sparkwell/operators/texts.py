@@ -11,11 +11,12 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
 from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,12 +45,24 @@ def digit_variants(docs: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.count("*").alias("n"), F.count_distinct("digits").alias("variants"), F.min("doc_id").alias("first_id")).where("variants > 1")
 
 
+def previous_ids(docs: DataFrame, cell: int = 10_000) -> DataFrame:
+    """(doc_id, prev_id): the row before of the same source, from ids alone.
+
+    A source is cut into cells of ids, so one that holds a third of all rows is spread over many tasks; cells meet by their last ids.
+    """
+    ids = docs.select("doc_id", "source", F.floor(F.col("doc_id") / cell).alias("cell"))
+    inside = ids.withColumn("prev", F.lag("doc_id").over(Window.partitionBy("source", "cell").orderBy("doc_id")))
+    ends = ids.groupBy("source", "cell").agg(F.max("doc_id").alias("last"))
+    before = ends.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.lag("last").over(Window.partitionBy("source").orderBy("cell")).alias("before"))
+    rows = inside.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    return rows.select("doc_id", F.coalesce("prev", "before").alias("prev_id")).where("prev_id is not null")
+
+
 def line_overlap(docs: DataFrame) -> DataFrame:
-    """Distinct lines that a text shares with the text before it from the same source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    own = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    rows = docs.select("doc_id", "source", F.lag("doc_id").over(w).alias("prev_id"), own.alias("own"), F.lag(own).over(w).alias("prev"))
-    return rows.where(F.col("prev_id").isNotNull()).select("doc_id", "prev_id", F.size("own").cast("long").alias("n_lines"), F.size(F.array_intersect("own", "prev")).cast("long").alias("shared"))
+    """Distinct lines that a text shares with the text before it from the same source; texts meet by id, not by source."""
+    own = docs.select("doc_id", F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("own"))
+    pairs = previous_ids(docs).join(own, "doc_id").join(own.select(F.col("doc_id").alias("prev_id"), F.col("own").alias("prev")), "prev_id")
+    return pairs.select("doc_id", "prev_id", F.size("own").cast("long").alias("n_lines"), F.size(F.array_intersect("own", "prev")).cast("long").alias("shared"))
 
 
 FOLDED = re.compile(r"((?:[0-9]|x(?=[0-9A-Fa-f]))[0-9A-Fa-f:.x-]*)|(/(?=[A-Za-z0-9.])[^ \t\n\f\r]*)|[ \t\n\f\r]+")
@@ -95,13 +108,20 @@ def simhash_class_links(hashes: DataFrame, radius: int = 3) -> DataFrame:
     return _links(hashes.groupBy("simhash").agg(F.min("doc_id").alias("class_id")), radius)
 
 
+#: Six blocks of a hash: three differing bits leave three blocks alike, so the 20 choices of three blocks find every link.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+
+
 def _links(classes: DataFrame, radius: int) -> DataFrame:
-    """Links of (simhash, class_id): four 16-bit bands joined on (band, value), verified by bits."""
-    band = lambda i: F.shiftrightunsigned(F.col("simhash"), 16 * i).bitwiseAND(F.lit(65535)).cast("int")
-    keyed = classes.where("simhash <> 0").select("simhash", "class_id", F.posexplode(F.array(*[band(i) for i in range(4)])).alias("band", "value"))
+    """Links of (simhash, class_id): keys of 31 bits and more joined on (choice, value), verified by bits."""
+    if radius > 3:
+        raise ValueError("the keys find links within 3 bits")
+    masks = [sum(((1 << w) - 1) << at for at, w in three) for three in combinations(BLOCKS, 3)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = classes.where("simhash <> 0").select("simhash", "class_id", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
     side = lambda x: keyed.withColumnsRenamed({"simhash": x, "class_id": f"{x}_class"})
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return side("a").join(side("b"), ["band", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.cast("int").alias("distance"), "a_class", "b_class").distinct()
+    return side("a").join(side("b"), ["choice", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.cast("int").alias("distance"), "a_class", "b_class").distinct()
 
 
 def simhash_members(hashes: DataFrame) -> DataFrame:
@@ -157,45 +177,33 @@ def chunk_reuse(docs: DataFrame) -> DataFrame:
     return c.join(first, "hash").groupBy("doc_id").agg(F.sum("len").alias("n_bytes"), F.sum(F.when(F.col("first_id") < F.col("doc_id"), F.col("len")).otherwise(0)).alias("reused"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, len): the inverted index."""
-    terms = docs.select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), TERM, -1), lambda t: t != "").alias("terms"))
-    rows = terms.select("doc_id", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
-    return rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-
-
-def _matches(docs: DataFrame, query: list[str]) -> DataFrame:
-    """(doc_id, len, term, tf) of the query's terms only, counted inside each row: no shuffle of the corpus."""
+def _counted(docs: DataFrame, query: list[str]) -> tuple[DataFrame, Row]:
+    """(doc_id, len, tf) with how often each term of the query occurs, and the corpus's (n, mean, df of each term): one pass each."""
     terms = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), TERM, -1), lambda t: t != "")
-    rows = docs.select("doc_id", terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("len"), "terms")
     count = lambda q: F.size(F.filter("terms", lambda t: t == q)).cast("long")
-    hits = F.array(*[F.struct(F.lit(q).alias("term"), count(F.lit(q)).alias("tf")) for q in query])
-    return rows.select("doc_id", "len", F.inline(hits)).where("tf > 0")
-
-
-def _statistics(docs: DataFrame) -> DataFrame:
-    size = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), TERM, -1), lambda t: t != ""))
-    return docs.agg(F.count("*").alias("n"), F.avg(size.cast("double")).alias("mean"))
+    tf = F.array(*[count(q) for q in query])
+    rows = docs.select("doc_id", terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("len"), tf.alias("tf"))
+    df = [F.coalesce(F.sum((F.get("tf", F.lit(i)) > 0).cast("long")), F.lit(0)) for i in range(len(query))]
+    return rows.where(F.exists("tf", lambda n: n > 0)), rows.agg(F.count("*").alias("n"), F.avg(F.col("len").cast("double")).alias("mean"), F.array(*df).alias("df")).first()
 
 
 def bm25(docs: DataFrame, query: list[str], k: int = 16, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents for an OR of terms."""
-    hits = _matches(docs, query)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = _statistics(docs).first()
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    scored = hits.join(F.broadcast(df), "term")  # one row a query term
-    return scored.groupBy("doc_id").agg((F.round(F.sum(score) * 1e6) / 1e6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    rows, corpus = _counted(docs, query)
+    norm = k1 * (1 - b + b * F.col("len") / F.lit(corpus["mean"] or 1.0))
+    score = F.lit(0.0)
+    for i, df in enumerate(corpus["df"]):
+        tf = F.get("tf", F.lit(i))
+        score += F.lit(math.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5))) * tf * (k1 + 1) / (tf + norm)
+    return rows.select("doc_id", (F.round(score * 1e6) / 1e6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def tfidf(docs: DataFrame, query: list[str], k: int = 16) -> DataFrame:
-    hits = _matches(docs, query)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    idf = F.greatest(F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)), F.lit(0.0))
-    scored = hits.join(F.broadcast(df), "term")  # one row a query term
-    return scored.groupBy("doc_id").agg((F.round(F.sum(F.col("tf") / F.col("len") * idf) * 1e9) / 1e9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    rows, corpus = _counted(docs, query)
+    score = F.lit(0.0)
+    for i, df in enumerate(corpus["df"]):
+        score += F.get("tf", F.lit(i)) / F.col("len") * max(math.log((corpus["n"] + 1) / (df + 1)), 0.0)
+    return rows.select("doc_id", (F.round(score * 1e9) / 1e9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def tfidf_containing(docs: DataFrame, query: list[str], k: int = 16) -> DataFrame:

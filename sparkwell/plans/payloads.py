@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkwell.operators import reducers
+from sparkwell.operators import reducers, texts
 from sparkwell.plans.queries import query
 from sparkwell.sources.model import observations
 
@@ -44,3 +44,27 @@ def best_reducers(spark, d):
     found = F.array(one("guard", 0, F.lit(True), F.lit(0), part(2)), one("ranked", 1, F.lit(False), F.col("k") % 7, part(4)), one("plain", 2, F.lit(False), F.lit(1), part(8)))
     rows = observations(spark, d).select(F.col("id").alias("doc_id"), raw.alias("raw"), F.inline(F.when(F.col("k") % 5 == 0, found).otherwise(F.slice(found, 2, 2))))
     return reducers.best_result(rows)
+
+
+#: The same payloads in SQL.
+PAYLOAD_SQL = """pay AS (SELECT id AS doc_id, CASE k % 3
+  WHEN 0 THEN 'running ' || n || ' tests' || chr(10) || list_aggregate(list_transform(range(1, n + 1), lambda i: 'test ' || tool_type || '::case_' || i || ' ... ok'), 'string_agg', chr(10))
+    || chr(10) || '---- ' || tool_type || '::bad stdout ----' || chr(10) || 'thread panicked at src/' || tool_type || '.rs:' || k || chr(10) || '  left: 401' || chr(10) || ' right: 200' || chr(10) || chr(10) || 'failures:' || chr(10) || 'test result: FAILED. ' || n || ' passed; 1 failed'
+  WHEN 1 THEN list_aggregate(list_transform(range(1, n + 1), lambda i: 'src/' || tool_type || '.rs:' || i || ':let x = 1;'), 'string_agg', chr(10))
+  ELSE list_aggregate(list_transform(range(1, n + 1), lambda i: 'plain output ' || i), 'string_agg', chr(10)) END AS text FROM (SELECT *, k % 30 + 10 AS n FROM obs))"""
+
+
+@query(f", {PAYLOAD_SQL} SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'fail|error|panic|exception'))) AS BIGINT) AS signals FROM pay WHERE regexp_matches(lower(text), 'fail|error|panic|exception')", "obs")
+def payload_signals(spark, d):
+    return texts.signal_counts(payloads(spark, d))
+
+
+@query(f""", {PAYLOAD_SQL} SELECT sha256(regexp_replace(text, '[0-9]+', '#', 'g')) AS hash, count(*) AS n, count(DISTINCT array_to_string(regexp_extract_all(text, '[0-9]+'), ',')) AS variants, min(doc_id) AS first_id
+  FROM pay GROUP BY 1 HAVING count(DISTINCT array_to_string(regexp_extract_all(text, '[0-9]+'), ',')) > 1""", "obs")
+def payload_digit_variants(spark, d):
+    return texts.digit_variants(payloads(spark, d))
+
+
+@query(None)
+def payload_frames(spark, d):
+    return texts.frames(payloads(spark, d))
