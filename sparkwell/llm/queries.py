@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from sparkwell.llm import decontaminate, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from sparkwell.llm.common import table
 
 URL_RULES = [
@@ -70,8 +70,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"), quality_classifier.remainder(F.col("doc_id"), 3) == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op5_decontaminate, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op5_decontaminate, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup, op12_merkle_manifest)}
 
 
 SQL_OP2 = r"""
@@ -147,5 +152,50 @@ FROM c
 """.replace("BOILERPLATE", f"'{quality_rules.BOILERPLATE}'")
 
 
+#: Levels that the SQL of the manifest unrolls: up to 8 ** 8 rows of a language.
+LEVELS = 8
+FIELD_SQL = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(FIELD_SQL.format(text if f == "text" else f) for f in merkle.FIELDS) + ")"
+
+
+def _levels_sql(name: str, up_to: int) -> str:
+    """From {name}0 (t, idx, h) the nodes of the next levels, and with each node (b, a): what stands around it; more: its level is hashed."""
+    out = []
+    for k in range(up_to):
+        out.append(f"""{name}r{k} AS (SELECT t, idx // 8 AS run, c > 1 AS more, string_agg(h, '' ORDER BY idx) AS hs FROM (SELECT *, count(*) OVER (PARTITION BY t) AS c FROM {name}{k}) GROUP BY ALL),
+        {name}{k + 1} AS (SELECT t, run AS idx, CASE WHEN more THEN sha256(hs) ELSE hs END AS h FROM {name}r{k})""")
+    return ",\n".join(out)
+
+
+def _climb_sql(name: str, source: str, up_to: int) -> str:
+    """From rows of {source} (t, idx, f, proof) the folded values and proofs through all levels of {name}."""
+    out = source
+    for k in range(up_to):
+        out = f"""(SELECT q.* REPLACE (CASE WHEN more THEN sha256(left(hs, 64 * (idx % 8)) || f || substr(hs, 64 * (idx % 8) + 65)) ELSE f END AS f,
+          proof || left(hs, 64 * (idx % 8)) || substr(hs, 64 * (idx % 8) + 65) AS proof, idx // 8 AS idx) FROM {out} q JOIN {name}r{k} r ON q.t = r.t AND q.idx // 8 = r.run)"""
+    return out
+
+
+SQL_OP12 = f"""
+WITH l AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, {_leaf_sql("text")} AS h,
+         CASE WHEN {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents
+), d AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM l
+), n0 AS (SELECT t, idx, h FROM d),
+{_levels_sql("n", LEVELS)},
+m0 AS (SELECT 0 AS t, t AS idx, h FROM n{LEVELS}),
+{_levels_sql("m", 3)},
+low AS (SELECT doc_id, h AS leaf, t, idx, coalesce(changed, h) AS f, '' AS proof FROM d),
+mid AS (SELECT * REPLACE (0 AS t, t AS idx), t AS tree FROM {_climb_sql("n", "low", LEVELS)} x),
+top AS (SELECT * FROM {_climb_sql("m", "mid", 3)} x)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+FROM top JOIN n{LEVELS} s ON top.tree = s.t, m3 r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": SQL_OP2, "op6_url_filter": SQL_OP6, "op9_quality_rules": SQL_OP9}
+    return {"op2_line_dedup": SQL_OP2, "op6_url_filter": SQL_OP6, "op9_quality_rules": SQL_OP9, "op12_merkle_manifest": SQL_OP12}
