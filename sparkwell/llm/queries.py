@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm import decontaminate, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from sparkwell.llm import collocations, decontaminate, line_dedup, merkle, packing, quality_classifier, quality_rules, simhash, sketches, substring_dedup, suffix_dedup, toxicity, url_filter
 from sparkwell.llm.common import table
 
 URL_RULES = [
@@ -70,13 +70,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.against_next(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(table(spark, sf_dir, "documents"), quality_classifier.remainder(F.col("doc_id"), 3) == 0)
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op5_decontaminate, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_quality_classifier, op5_decontaminate, op6_url_filter, op7_suffix_dedup, op8_packing, op9_quality_rules, op10_substring_dedup, op11_scaled_sketch, op12_merkle_manifest, op13_collocations)}
 
 
 SQL_OP2 = r"""
@@ -197,5 +205,25 @@ FROM top JOIN n{LEVELS} s ON top.tree = s.t, m3 r
 """
 
 
+SQL_OP13 = r"""
+WITH w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)
+), t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(ws) >= size
+), f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL
+), c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30
+), k AS (SELECT *, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)
+), s AS (
+  SELECT k.*, l.f AS l, r.f AS r, 2000000 * a // (l.f + r.f) AS score FROM k JOIN f l ON k.lang = l.lang AND k.head = l.phrase JOIN f r ON k.lang = r.lang AND k.tail = r.phrase
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s
+  WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = s.lang AND x.size > s.size AND (' ' || x.phrase || ' ') LIKE ('% ' || replace(replace(replace(s.phrase, '\', '\\'), '%', '\%'), '_', '\_') || ' %') ESCAPE '\' AND 100 * x.a >= 80 * s.a)
+)
+SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN t ON o.lang = t.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": SQL_OP2, "op6_url_filter": SQL_OP6, "op9_quality_rules": SQL_OP9, "op12_merkle_manifest": SQL_OP12}
+    return {"op2_line_dedup": SQL_OP2, "op6_url_filter": SQL_OP6, "op9_quality_rules": SQL_OP9, "op12_merkle_manifest": SQL_OP12, "op13_collocations": SQL_OP13}
