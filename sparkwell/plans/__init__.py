@@ -1,4 +1,4 @@
 """The registered queries; importing the package registers all of them."""
 
 from sparkwell.plans import queries  # noqa: I001
-from sparkwell.plans import dashboard, deltas, memory, payloads, search, sessions
+from sparkwell.plans import dashboard, deltas, excerpts, memory, payloads, search, sessions
