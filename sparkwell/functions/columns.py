@@ -7,15 +7,12 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkwell.functions.catalog import ALIASES, CATALOG
+
 WORD = r"[^ \t\n\f\r]+"
 #: Characters a token by kind of text (ASCII, other).
 DIVISORS = {"code": (3.3, 1.1), "shell": (3.9, 1.1), "json": (2.9, 1.1), "prose": (4.2, 1.1), "cjk": (3.8, 0.9), "binary": (3.0, 1.1)}
-#: US dollars a million input tokens.
-INPUT_USD = {"claude-sonnet-4": 3.0, "gpt-5": 1.25, "deepseek-chat": 0.28, "gpt-5-mini": 0.25}
-#: Other names of the same models.
-ALIASES = {"claude-sonnet-4-5": "claude-sonnet-4", "claude-sonnet-4-6": "claude-sonnet-4", "claude-4-sonnet": "claude-sonnet-4"}
-#: Output, cache read, 5-minute and 1-hour cache write and reasoning, as multiples of the input price.
-MULTIPLES = {"claude": (5.0, 0.1, 1.25, 2.0, 5.0), "gpt": (8.0, 0.25, 1.0, 1.0, 8.0), "deepseek": (2.0, 0.02, 1.0, 1.0, 2.0), "": (4.0, 0.1, 1.0, 1.0, 4.0)}
+INPUT_USD = {model: usd for model, usd, _ in CATALOG}
 
 
 def estimated_tokens(text: Column, kind: str = "prose") -> Column:
@@ -69,22 +66,6 @@ def uncached_input(harness: Column, tokens: Column, read: Column, written: Colum
     return F.when(harness == "codex", F.greatest(tokens - F.greatest(read, F.lit(0)) - written, F.lit(0))).otherwise(tokens)
 
 
-def turn_usd(price: Column) -> Column:
-    """What a turn costs; reasoning is part of the output for some providers. Null without a price."""
-    model, harness = F.col("model"), F.col("harness")
-
-    def rate(i: int) -> Column:
-        out = F.lit(MULTIPLES[""][i])
-        for family in ("deepseek", "gpt", "claude"):
-            out = F.when(model.contains(family), MULTIPLES[family][i]).otherwise(out)
-        return out
-
-    fresh = uncached_input(harness, F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_write_5m") + F.col("cache_write_1h"))
-    units = fresh + F.col("output_tokens") * rate(0) + F.col("cache_read_tokens") * rate(1) + F.col("cache_write_5m") * rate(2) + F.col("cache_write_1h") * rate(3)
-    units = units + F.when(harness == "codex", 0.0).otherwise(F.col("reasoning_tokens") * rate(4))
-    return round_usd(units * price / 1e6)
-
-
 def signal_line(line: Column) -> Column:
     return F.lower(line).rlike("fail|error|panic|exception")
 
@@ -124,21 +105,6 @@ def model_label(model: Column) -> Column:
     return F.when(F.lower(bare).isin("", "__unknown__", "unknown"), "Other").when(F.lower(bare).isin("default", "auto"), "Auto").otherwise(F.array_join(parts, "-"))
 
 
-def family_usd(price: Column, model: Column, harness: Column, provider: Column, fresh: Column, output: Column, read: Column, written_5m: Column, written_1h: Column, reasoning: Column) -> Column:
-    """What a turn costs by its model's family; negative counts are none; reasoning is part of the output for some."""
-
-    def rate(i: int) -> Column:
-        out = F.lit(FAMILIES[-1][1][i])
-        for words, rates in reversed(FAMILIES[:-1]):
-            out = F.when(F.lower(model).rlike("|".join(words)), rates[i]).otherwise(out)
-        return out
-
-    count = lambda c: F.greatest(c, F.lit(0))
-    units = count(fresh) + count(read) * rate(1) + count(written_5m) * rate(2) + count(written_1h) * rate(3) + count(output) * rate(0)
-    units = units + F.when((harness == "codex") | (provider == "openai"), 0.0).otherwise(count(reasoning) * rate(4))
-    return round_usd(units * price / 1e6)
-
-
 def context_window(model: Column) -> Column:
     return F.when(F.lower(model).rlike("|".join(WIDE_MODELS).replace(".", "[.]")), 200_000).otherwise(128_000)
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwell.functions.columns import bucket, canonical_model, input_price, layer, reduction_pct, round_usd, turn_usd, uncached_input
+from sparkwell.functions.columns import bucket, canonical_model, input_price, layer, reduction_pct, round_usd, uncached_input
+from sparkwell.functions.prices import catalog, priced
 
 REASON = "array<struct<label:string,tokens:bigint>>"
 
@@ -171,8 +172,8 @@ def ledger_by_domain(turns: DataFrame, domain: list[str]) -> DataFrame:
 
 def costs(turns: DataFrame, *by: str) -> DataFrame:
     """US dollars by group: each turn rounded to a millionth; null if no turn has a price."""
-    priced = turns.withColumn("usd", turn_usd(input_price(F.col("model"))))
-    return priced.groupBy(*by).agg(F.count("*").alias("turns"), (F.sum(F.round(F.col("usd") * 1e6).cast("long")) / 1e6).alias("usd"))
+    fresh = uncached_input(F.col("harness"), F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_write_5m") + F.col("cache_write_1h"))
+    return priced(turns, catalog(turns.sparkSession), fresh).groupBy(*by).agg(F.count("*").alias("turns"), (F.sum(F.round(F.col("usd") * 1e6).cast("long")) / 1e6).alias("usd"))
 
 
 def avoided_usd(obs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwell.functions import columns as C
+from sparkwell.functions import prices
 from sparkwell.operators import analytics, dashboard
 from sparkwell.plans.queries import NOW, SINCE, UNTIL, query
 from sparkwell.sources.model import observations, sessions, table, turns
@@ -55,13 +56,6 @@ def resolved_uris(spark, d):
     return dashboard.resolve_hashes(wanted, hashes)
 
 
-@query("SELECT * FROM (VALUES ('gpt-5', 1.5::DOUBLE, 2), ('gpt-5-mini', 0.25::DOUBLE, 0), ('grok-4.5', 2.5::DOUBLE, 1), ('own', 9.0::DOUBLE, 2)) t(model_id, usd, layer)")
-def price_layers(spark, d):
-    kind = "model_id string, usd double"
-    layers = ([("gpt-5", 1.25), ("gpt-5-mini", 0.25), ("grok-4.5", 2.0)], [("gpt-5", 1.3), ("grok-4.5", 2.5)], [("gpt-5", 1.5), ("own", 9.0), ("grok-4.5", None)])
-    return dashboard.layered(*[spark.createDataFrame(x, kind) for x in layers])
-
-
 # Writes
 
 EVENTS = "ev AS (SELECT id, session_id, created_at, raw_tokens, tool_type, CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'default' WHEN 2 THEN 'gpt-5' WHEN 3 THEN 'auto' ELSE 'grok-4.5' END AS model FROM obs WHERE k % 3 <> 0)"
@@ -259,7 +253,7 @@ usd AS (SELECT *, round((fresh + CASE turn_key % 8 WHEN 0 THEN cache_read_tokens
 def tiered(spark, d):
     i = (F.col("turn_key") % 8 + 1).cast("int")
     rows = turns(spark, d).withColumns({"m": F.element_at(F.array(*[F.lit(m) for m, _ in TIERED]), i), "price": F.element_at(F.array(*[F.lit(p).cast("double") for _, p in TIERED]), i), "provider": F.when(F.col("turn_key") % 8 == 2, "openai").otherwise("")})
-    usd = C.family_usd(F.col("price"), F.col("m"), F.col("harness"), F.col("provider"), dashboard.fresh_input(rows), *[F.col(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_5m", "cache_write_1h", "reasoning_tokens")])
+    usd = prices.usd(F.col("price"), {}, F.col("m"), F.col("harness"), F.col("provider"), dashboard.fresh_input(rows), *[F.col(c) for c in ("output_tokens", "cache_read_tokens", "cache_write_5m", "cache_write_1h", "reasoning_tokens")])
     return rows.withColumn("usd", usd)
 
 
@@ -284,7 +278,7 @@ def cache_dead_sessions(spark, d):
 def _usd(t: dict):
     get = lambda f: t[f]
     fresh = C.uncached_input(get("harness"), get("input_tokens"), get("cache_read_tokens"), get("cache_write_5m") + get("cache_write_1h"))
-    return C.family_usd(C.input_price(get("model")), get("model"), get("harness"), F.lit(""), fresh, *[get(f) for f in ("output_tokens", "cache_read_tokens", "cache_write_5m", "cache_write_1h", "reasoning_tokens")])
+    return prices.usd(C.input_price(get("model")), {}, get("model"), get("harness"), F.lit(""), fresh, *[get(f) for f in ("output_tokens", "cache_read_tokens", "cache_write_5m", "cache_write_1h", "reasoning_tokens")])
 
 
 @query(None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.functions.columns import ALIASES, INPUT_USD, MULTIPLES, estimated_tokens
+from sparkwell.functions.columns import ALIASES, FAMILIES, INPUT_USD, estimated_tokens
 from sparkwell.operators import analytics, texts
 from sparkwell.sources.model import OBS_SQL, SESS_SQL, TURNS_SQL, observations, sessions, table, turns
 
@@ -200,7 +200,9 @@ def ledger_sources(spark, d):
 
 
 def _rate(i: int) -> str:
-    return f"CASE WHEN contains(model, 'claude') THEN {MULTIPLES['claude'][i]}::DOUBLE WHEN contains(model, 'gpt') THEN {MULTIPLES['gpt'][i]}::DOUBLE WHEN contains(model, 'deepseek') THEN {MULTIPLES['deepseek'][i]}::DOUBLE ELSE {MULTIPLES[''][i]}::DOUBLE END"
+    """A family's multiple of the input price, by words in the model id."""
+    cases = " ".join(f"WHEN regexp_matches(model, '{'|'.join(words)}') THEN {rates[i]}::DOUBLE" for words, rates in FAMILIES if words)
+    return f"CASE {cases} ELSE {FAMILIES[-1][1][i]}::DOUBLE END"
 
 
 CANON = "CASE model " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES.items()) + " ELSE model END"
