@@ -2,7 +2,7 @@
 
 Texts are split into pieces at punctuation and line ends, and pieces into words; a phrase never crosses pieces. All n-grams of
 1 to ``max_n`` words are exploded into rows and counted by language with partial aggregation before the shuffle. A phrase can't
-be more frequent than any part of it, so the rows of an n-gram that holds a word, or a pair of words, of fewer than
+be more frequent than any part of it, so the rows of an n-gram that holds a shorter one of fewer than
 ``least`` occurrences need not be made: it is no candidate and no part of one. Which ones these are is told by a table
 of ``FLAGS`` one-byte flags by hash, of that size whatever the corpus: an unlucky hash lets a row through, and none is lost, as counts
 are exact. Candidates are joined with the counts of both parts at each cut, scored in decimal arithmetic, anti-joined with
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwell.llm.common import materialize
+from sparkwell.llm.common import materialize, release
 from sparkwell.llm.merkle import lowered
 
-#: Words of a phrase; the pruning by pairs is written for at least 2.
+#: Words of a phrase.
 MAX_N = 4
 #: Occurrences that a candidate has at least.
 LEAST = 30
@@ -46,8 +46,8 @@ def pieces(docs: DataFrame) -> DataFrame:
     return bare.select("lang", F.split("piece", "[ \t]+").alias("words"))
 
 
-def _slot(lang: Column, *words: Column) -> Column:
-    return F.pmod(F.xxhash64(lang, *words), F.lit(FLAGS))
+def _slot(h: Column) -> Column:
+    return F.pmod(h, F.lit(FLAGS))
 
 
 def _flags(spark: SparkSession, slots: DataFrame) -> Column:
@@ -66,9 +66,14 @@ def _is_set(flags: Column, slot: Column) -> Column:
     return F.substring(flags, slot.cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
+def _told(flags: Column, lang: Column, words: list[Column]) -> Column:
+    """Whether these words may be a frequent n-gram."""
+    return _is_set(flags, _slot(F.xxhash64(lang, *words)))
+
+
 def _counted(rows: DataFrame, least: int) -> DataFrame:
-    """(lang, size, phrase, f) of those with ``least`` occurrences."""
-    return rows.groupBy("lang", "size", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    """(lang, phrase, f) of those with ``least`` occurrences."""
+    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -77,29 +82,31 @@ def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[Dat
     source = materialize(pieces(docs), "phrase-pieces")
     totals = source.groupBy("lang").agg(F.sum(F.size("words")).cast("long").alias("n"))
     lang, words, at = F.col("lang"), F.col("words"), F.col("at")
-    tables = [materialize(_counted(source.select("lang", F.lit(1).alias("size"), F.explode("words").alias("phrase")), least), "phrase-words")]
+    singles = materialize(_counted(source.select("lang", F.explode("words").alias("phrase")), least), "phrase-words")
+    release(spark)
+    out = singles.select("lang", F.lit(1).alias("size"), "phrase", "f")
+    if max_n < 2:
+        return out, totals
     word = lambda i: F.get(words, at + i) if i else F.col("w0")
+    run = lambda i, n: [word(j) for j in range(i, i + n)]
     starts = source.where(F.size("words") >= 2).select("lang", "words", F.posexplode("words").alias("at", "w0"))
-    if max_n >= 2:
-        flags = _flags(spark, tables[0].select(_slot(lang, F.col("phrase")).alias("slot")))
-        frequent = lambda w: _is_set(flags, _slot(lang, w))
-        pairs = starts.select("lang", "w0", word(1).alias("w1")).where(F.col("w1").isNotNull()).where(frequent(F.col("w0"))).where(frequent(F.col("w1")))
-        tables.append(materialize(_counted(pairs.select("lang", F.lit(2).alias("size"), F.concat_ws(" ", "w0", "w1").alias("phrase")), least), "phrase-pairs"))
-    if max_n >= 3:
-        two = F.split("phrase", " ")
-        flags = _flags(spark, tables[1].select(_slot(lang, two[0], two[1]).alias("slot")))
-        linked = lambda i: word(i + 1).isNotNull() & _is_set(flags, _slot(lang, word(i), word(i + 1)))
-        # How many pairs from here on are frequent, max_n - 1 at most: so long are the n-grams that start here.
-        reach = F.lit(max_n - 1)
-        for i in reversed(range(max_n - 1)):
-            reach = F.when(linked(i), reach).otherwise(F.lit(i))
-        long = starts.where(F.size("words") >= 3).select("lang", "words", "at", reach.alias("reach")).where("reach >= 2")
-        grams = long.select("lang", "words", "at", F.explode(F.sequence(F.lit(3), F.col("reach") + 1)).alias("size"))
-        tables.append(materialize(_counted(grams.select("lang", "size", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("size"))).alias("phrase")), least), "phrase-grams"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out, totals
+    known = {1: _flags(spark, singles.select(_slot(F.xxhash64("lang", "phrase")).alias("slot")))}
+    # n-grams are first counted by hash alone, shorter ones first, which moves half of their bytes; equal hashes can only add to a count.
+    for n in range(1, max_n):
+        both = _told(known[n], lang, run(0, n)) & word(n).isNotNull() & _told(known[n], lang, run(1, n))
+        if n + 1 < max_n:
+            hashes = starts.where(F.size("words") > n).where(both).select(F.xxhash64(lang, *run(0, n + 1)).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
+            known[n + 1] = _flags(spark, hashes.where(F.col("f") >= least).select(_slot(F.col("h")).alias("slot")))
+            release(spark)
+    # The longest n-gram from here on that may be frequent; all shorter ones from here on may be too. These are counted by their words.
+    reach = F.when(word(max_n - 1).isNotNull() & _told(known[max_n - 1], lang, run(1, max_n - 1)), F.lit(max_n)).otherwise(F.lit(max_n - 1))
+    for n in reversed(range(1, max_n)):
+        reach = F.when(word(n - 1).isNotNull() & _told(known[n], lang, run(0, n)), reach).otherwise(F.lit(n - 1))
+    grams = starts.select("lang", "words", "at", reach.alias("reach")).where("reach >= 2").select("lang", "words", "at", F.explode(F.sequence(F.lit(2), "reach")).alias("size"))
+    longer = _counted(grams.select("lang", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("size"))).alias("phrase")), least)
+    grams = materialize(longer.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"), "phrase-grams")
+    release(spark)
+    return out.unionByName(grams), totals
 
 
 def phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, top: int = TOP, covered: int = COVERED) -> DataFrame:

@@ -7,6 +7,7 @@ their names. Each row counts as a document of its own, also when another row rep
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import uuid
 
@@ -53,6 +54,12 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark then deletes the shuffle files of queries that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound what Arrow hands to a Python worker at once; texts may be long. Holds for the session: queries run after this returns."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
