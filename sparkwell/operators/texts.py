@@ -130,31 +130,32 @@ def simhash_members(hashes: DataFrame) -> DataFrame:
     return hashes.join(least, "simhash").select("doc_id", "simhash", "class_id")
 
 
-def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11, middle: int = 2048) -> DataFrame:
-    """(doc_id, offset, len, hash): content-defined chunks, cut where a rolling sum of byte hashes has low zero bits.
-
-    From ``middle`` bytes on, one zero bit fewer will do. The hash starts anew with each chunk.
-    """
+GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+
+
+def chunk_ends(body: bytes, least: int = 512, most: int = 8192, bits: int = 11, middle: int = 2048) -> list[int]:
+    """Where content-defined chunks end: where a rolling sum of byte hashes has ``bits`` low zero bits, from ``middle`` bytes on one fewer."""
+    raw = np.frombuffer(body, np.uint8)
+    g, h = GEAR[raw], np.zeros(len(raw), np.uint64)
+    # Each shift drops older bytes, so the sum of the last shifted values is the rolling hash; its low bits depend on that many bytes.
+    for j in range(min(bits, len(raw))):
+        h[j:] += g[: len(raw) - j] << np.uint64(j)
+    # These are fewer than ``least``, so a chunk's start makes no difference.
+    spots = [np.flatnonzero(h & np.uint64((1 << n) - 1) == 0) + 1 for n in (bits, bits - 1)]
+    ends, at = [], 0
+    while at < len(raw):
+        end = min(at + most, len(raw))
+        for found, size in zip(spots, (least, middle)):
+            i = np.searchsorted(found, at + size)
+            if i < len(found):
+                end = min(end, int(found[i]))
+        ends.append(at := end)
+    return ends
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, offset, len, hash): content-defined chunks. The hash starts anew with each chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gear = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-
-    def cut(raw: np.ndarray) -> list[int]:
-        # Each shift drops older bytes, so the sum of the last 64 shifted values is the rolling hash.
-        h = np.zeros(len(raw), np.uint64)
-        g = gear[raw]
-        for j in range(min(64, len(raw))):
-            h[j:] += g[: len(raw) - j] << np.uint64(j)
-        # Its low bits depend on the last bytes only, so from ``least`` (over ``bits``) bytes on a chunk's start makes no difference.
-        spots = [np.flatnonzero(h & np.uint64((1 << n) - 1) == 0) + 1 for n in (bits, bits - 1)]
-        ends, at = [], 0
-        while at < len(raw):
-            end = min(at + most, len(raw))
-            for found, size in zip(spots, (least, middle)):
-                i = np.searchsorted(found, at + size)
-                if i < len(found):
-                    end = min(end, int(found[i]))
-            ends.append(at := end)
-        return ends
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,7 +163,7 @@ def chunks(docs: DataFrame, least: int = 512, most: int = 8192, bits: int = 11,
             for d, t in zip(pdf["doc_id"], pdf["text"]):
                 body = (t or "").encode()
                 at = 0
-                for end in cut(np.frombuffer(body, np.uint8)) if body else ():
+                for end in chunk_ends(body):
                     rows.append((d, at, end - at, hashlib.blake2b(body[at:end], digest_size=8).hexdigest()))
                     at = end
             yield pd.DataFrame(rows, columns=["doc_id", "offset", "len", "hash"])
