@@ -191,7 +191,7 @@ def _climb_sql(name: str, source: str, up_to: int) -> str:
 SQL_OP12 = f"""
 WITH l AS (
   SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, {_leaf_sql("text")} AS h,
-         CASE WHEN {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents
+         CASE WHEN doc_id IS NOT NULL AND {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents
 ), d AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM l
 ), n0 AS (SELECT t, idx, h FROM d),
 {_levels_sql("n", LEVELS)},

@@ -23,6 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sparkwell.llm.common import materialize, partitions, small_batches
 from sparkwell.llm.repeats import refine, scramble, unsqueeze
@@ -169,7 +170,7 @@ def merged(sketches: DataFrame, *by: str, scale: int = SCALE) -> DataFrame:
 def sketched(docs: DataFrame, *keep: str, scale: int = SCALE) -> DataFrame:
     """(``keep``, hashes): the kept hashes of each text as an array of long."""
     small_batches(docs.sparkSession)
-    schema = docs.select(*keep).schema.add("hashes", "array<long>")
+    schema = docs.select(*keep).schema.add("hashes", ArrayType(LongType()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
