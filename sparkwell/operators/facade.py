@@ -57,8 +57,8 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
 
 def search_frames(needles: DataFrame, frames: DataFrame, k: int = MOST_HITS) -> DataFrame:
     """(query_id, rank, uri, name, kind, hint): frames (uri, name, kind, start_line, hint) whose name or hint holds the needle, failures first."""
-    # A line end stands between the two, so no needle reaches over both.
-    rows = frames.withColumn("_both", F.concat_ws("\n", F.coalesce("name", F.lit("")), F.coalesce("hint", F.lit(""))))
+    # A null character stands between the two, so no needle reaches over both.
+    rows = frames.withColumn("_both", F.concat_ws("\x00", F.coalesce("name", F.lit("")), F.coalesce("hint", F.lit(""))))
     found = holding(needles, rows, "_both")
     weight = F.when(F.col("kind") == "fail", 0).when(F.col("kind") == "error", 1).otherwise(2)
     return top(found, k, weight, "start_line", "uri", "name").select("query_id", "rank", "uri", "name", "kind", "hint")
