@@ -72,6 +72,11 @@ def like_text(column: Column, query: str) -> Column:
     return F.lower(column).like(f"%{query.lower()}%")
 
 
+def prefix_text(column: Column, query: str) -> Column:
+    """LIKE of a beginning: the query's own wildcards count as they stand, its case too. Reaches the scan as a filter."""
+    return column.startswith(query)
+
+
 # Scans and look-ups
 
 

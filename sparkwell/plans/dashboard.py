@@ -156,12 +156,19 @@ def model_parts(spark, d):
     return rows.select("model", C.model_parts(F.col("model")).alias("p"), C.model_label(F.col("model")).alias("label"), C.context_window(F.col("model")).alias("context")).select("model", "p.*", "label", "context")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'al') AND lower(p_name) LIKE '%a_e%' AND starts_with(lower(p_type), left(lower(p_type), 2))")
+@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'al') AND lower(p_name) LIKE '%a_e%'")
 def text_filters(spark, d):
     parts = table(spark, d, "part")
     return parts.where(dashboard.contains_text(F.col("p_type"), "AL") & dashboard.like_text(F.col("p_name"), "A_E")).select("p_partkey", "p_type")
 
 
+@query("SELECT p_partkey, p_name, o_orderpriority, count(*) AS orders FROM part JOIN orders ON p_partkey = o_orderkey % 2000 WHERE p_name LIKE 'red %' AND o_orderpriority LIKE '1%' GROUP BY ALL")
+def prefix_filters(spark, d):
+    parts = table(spark, d, "part").where(dashboard.prefix_text(F.col("p_name"), "red ")).select("p_partkey", "p_name")
+    orders = table(spark, d, "orders").where(dashboard.prefix_text(F.col("o_orderpriority"), "1")).select((F.col("o_orderkey") % 2000).alias("p_partkey"), "o_orderpriority")
+    return parts.join(orders, "p_partkey").groupBy("p_partkey", "p_name", "o_orderpriority").agg(F.count("*").alias("orders"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 GROUP BY 1")
 def json_path_filter(spark, d):
     return table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("long") > 50).groupBy("event_type").agg(F.count("*").alias("n"))
@@ -298,6 +305,14 @@ def optimizer_tunes(spark, d):
     return dashboard.tuned(observations(spark, d), ["session_id", "tool_type"], every=3)
 
 
+@query("""WITH n AS (SELECT session_id, row_number() OVER w AS n, sum(refetched_tokens) OVER (PARTITION BY session_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS r FROM obs WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)),
+  s AS (SELECT session_id, list(r / n::DOUBLE ORDER BY n) FILTER (n % 50 = 0) AS rates, max(n) AS intercepts FROM n GROUP BY 1)
+  SELECT session_id, intercepts, round(list_reduce(coalesce(rates, []), lambda t, x: CASE WHEN x > 0.20 THEN least(t + 0.05, 1.4) WHEN x < 0.05 THEN greatest(t - 0.05, 0.75) ELSE t END, 1.0::DOUBLE), 6) AS tune FROM s""".replace("WITH n", ", n", 1), "obs")
+def session_tunes(spark, d):
+    """The feedback fold with a step after every 50 calls of a session."""
+    return dashboard.tuned(observations(spark, d), ["session_id"])
+
+
 # Lists
 
 
