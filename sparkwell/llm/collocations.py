@@ -90,18 +90,21 @@ def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[Dat
     word = lambda i: F.get(words, at + i) if i else F.col("w0")
     run = lambda i, n: [word(j) for j in range(i, i + n)]
     starts = source.where(F.size("words") >= 2).select("lang", "words", F.posexplode("words").alias("at", "w0"))
-    known = {1: _flags(spark, singles.select(_slot(F.xxhash64("lang", "phrase")).alias("slot")))}
+    known: dict[int, Column] = {}
     # n-grams are first counted by hash alone, shorter ones first, which moves half of their bytes; equal hashes can only add to a count.
-    for n in range(1, max_n):
-        both = _told(known[n], lang, run(0, n)) & word(n).isNotNull() & _told(known[n], lang, run(1, n))
-        if n + 1 < max_n:
-            hashes = starts.where(F.size("words") > n).where(both).select(F.xxhash64(lang, *run(0, n + 1)).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
-            known[n + 1] = _flags(spark, hashes.where(F.col("f") >= least).select(_slot(F.col("h")).alias("slot")))
-            release(spark)
+    # Pairs are counted without a look at their words: nearly all words of a large corpus are frequent.
+    for n in range(2, max_n):
+        long = starts.where(word(n - 1).isNotNull())
+        both = _told(known[n - 1], lang, run(0, n - 1)) & _told(known[n - 1], lang, run(1, n - 1)) if n > 2 else F.lit(True)
+        hashes = long.where(both).select(F.xxhash64(lang, *run(0, n)).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
+        known[n] = _flags(spark, hashes.where(F.col("f") >= least).select(_slot(F.col("h")).alias("slot")))
+        release(spark)
     # The longest n-gram from here on that may be frequent; all shorter ones from here on may be too. These are counted by their words.
-    reach = F.when(word(max_n - 1).isNotNull() & _told(known[max_n - 1], lang, run(1, max_n - 1)), F.lit(max_n)).otherwise(F.lit(max_n - 1))
-    for n in reversed(range(1, max_n)):
+    last = max_n - 1
+    reach = F.lit(max_n) if last < 2 else F.when(word(last).isNotNull() & _told(known[last], lang, run(1, last)), F.lit(max_n)).otherwise(F.lit(last))
+    for n in reversed(range(2, max_n)):
         reach = F.when(word(n - 1).isNotNull() & _told(known[n], lang, run(0, n)), reach).otherwise(F.lit(n - 1))
+    reach = F.when(word(1).isNotNull(), reach).otherwise(F.lit(1))
     grams = starts.select("lang", "words", "at", reach.alias("reach")).where("reach >= 2").select("lang", "words", "at", F.explode(F.sequence(F.lit(2), "reach")).alias("size"))
     longer = _counted(grams.select("lang", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.col("size"))).alias("phrase")), least)
     grams = materialize(longer.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"), "phrase-grams")
