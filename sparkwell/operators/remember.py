@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from sparkwell.functions.columns import digit_runs, normalized_hash
 from sparkwell.operators.texts import BLOCKS, simhash_trigrams
+from sparkwell.sources.stored import stored
 
 RADIUS = 3
 MASKS = [m - (1 << 64) if m >> 63 else m for m in (sum(((1 << w) - 1) << at for at, w in three) for three in combinations(BLOCKS, 3))]
@@ -68,7 +69,7 @@ def nearest(probes: DataFrame, entries: DataFrame, radius: int = RADIUS) -> Data
     known = entries.where("simhash <> 0").groupBy("simhash", "digits").agg(F.min("at").alias("match"))
     asked = probes.where("simhash <> 0").select("at", "simhash", "digits")
     same = asked.join(known, ["simhash", "digits"]).where(F.col("match") < F.col("at")).select("at", "match", F.lit(0).alias("distance"))
-    open_ = asked.join(same.select("at"), "at", "left_anti").select("at", "digits", F.col("simhash").alias("a"), near_keys(F.col("simhash")))
+    open_ = asked.join(same.select("at").hint("merge"), "at", "left_anti").select("at", "digits", F.col("simhash").alias("a"), near_keys(F.col("simhash")))
     side = known.select("match", "digits", F.col("simhash").alias("b"), near_keys(F.col("simhash")))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("int")
     close = open_.join(side, ["digits", "choice", "value"]).where((F.col("match") < F.col("at")) & (distance <= radius))
@@ -89,7 +90,8 @@ def chained(arrivals: DataFrame) -> DataFrame:
 
 def concluded(rows: DataFrame, near: DataFrame) -> DataFrame:
     """(at, kind, match, count, distance) from ``chained`` rows and the ``nearest`` of the open ones."""
-    joined = rows.join(near.withColumnRenamed("match", "_near"), "at", "left")
+    # Both sides have a row for each arrival: merged, as rows that compress well look small enough to be sent whole through the driver.
+    joined = rows.join(near.withColumnRenamed("match", "_near").hint("merge"), "at", "left")
     kind = F.when(F.col("kind") != "open", F.col("kind")).when(F.col("_near").isNotNull(), "near").otherwise("new")
     told = joined.select("at", "hash", kind.alias("kind"), F.coalesce("match", "_near").alias("match"), F.coalesce("distance", F.lit(0)).alias("distance"))
     # How often had the matched payload come? Each arrival counts for its hash, and asks for its match's hash.
@@ -97,10 +99,11 @@ def concluded(rows: DataFrame, near: DataFrame) -> DataFrame:
     asks = told.where("match IS NOT NULL").join(hash_of, "match").select("at", F.col("_of").alias("hash"), F.lit(0).alias("n"), F.lit(True).alias("asks"))
     events = rows.select("at", "hash", F.lit(1).alias("n"), F.lit(False).alias("asks")).unionByName(asks)
     counts = counted_before(events, "hash", "at", "n").where("asks").select("at", (F.col("before") + 1).alias("count"))
-    return told.join(counts, "at", "left").select("at", "kind", "match", F.coalesce("count", F.lit(1)).cast("long").alias("count"), "distance")
+    return told.join(counts.hint("merge"), "at", "left").select("at", "kind", "match", F.coalesce("count", F.lit(1)).cast("long").alias("count"), "distance")
 
 
 def remembered(arrivals: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(at, kind, match, count, distance) of all arrivals, as if they had come one by one."""
-    rows = chained(arrivals)
+    # Stored, as each look-up reads them again and would hash all texts anew.
+    rows = stored(chained(stored(arrivals, "arrivals")), "arrivals-chained")
     return concluded(rows, nearest(rows.where("kind = 'open'"), rows.where("entry"), radius))

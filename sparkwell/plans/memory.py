@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkwell.functions.columns import digit_runs, normalized_hash
+from sparkwell.functions.excerpts import let
 from sparkwell.operators import remember
 from sparkwell.plans.payloads import PAYLOAD_SQL, payloads
 from sparkwell.plans.queries import query
-from sparkwell.sources.model import observations, table
+from sparkwell.sources.model import table
 
 
 def payload_arrivals(spark, d):
     """Payloads in the order of their ids, some with spaces at the end; the simhash is made from columns, so that SQL has it too."""
-    more = observations(spark, d).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" "), (F.col("id") % 3).cast("int")).alias("tail"), (F.shiftleft(F.col("k") % 7 + 1, 40) + F.expr("shiftleft(1L, cast(session_id % 5 as int))")).alias("simhash"))
-    text = F.concat("text", "tail")
-    rows = payloads(spark, d).join(more, "doc_id")
-    return rows.select(F.col("doc_id").alias("at"), F.sha2(text, 256).alias("hash"), normalized_hash(text).alias("norm"), "simhash", F.sha2(F.array_join(digit_runs(text), ","), 256).alias("digits"))
+    # All in one projection: a join of the payloads with their own observations would send one of the two whole to every task.
+    simhash = F.shiftleft(F.col("k") % 7 + 1, 40) + F.expr("shiftleft(1L, cast(session_id % 5 as int))")
+    rows = payloads(spark, d).select("doc_id", F.concat("text", F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int"))).alias("text"), simhash.alias("simhash"))
+    keys = lambda t: F.struct(F.sha2(t, 256).alias("hash"), normalized_hash(t).alias("norm"), F.sha2(F.array_join(digit_runs(t), ","), 256).alias("digits"))
+    return rows.select(F.col("doc_id").alias("at"), "simhash", let(F.col("text"), keys).alias("x")).select("at", "x.hash", "x.norm", "simhash", "x.digits")
 
 
 @query(rf""", {PAYLOAD_SQL}, pt AS (SELECT obs.id AS "at", text || repeat(' ', CAST(obs.id % 3 AS INTEGER)) AS t, (obs.k % 7 + 1) * 1099511627776 + (1::BIGINT << (session_id % 5)) AS simhash FROM pay JOIN obs ON pay.doc_id = obs.id),

@@ -24,7 +24,10 @@ def payloads(spark, d):
     test = F.concat(F.lit("running "), n.cast("string"), F.lit(" tests\n"), repeated(ok, n), failure, F.lit("test result: FAILED. "), n.cast("string"), F.lit(" passed; 1 failed"))
     hits = repeated(F.concat(F.lit("src/"), name, F.lit(".rs:%d:let x = 1;")), n)
     text = F.when(k % 3 == 0, test).when(k % 3 == 1, hits).otherwise(repeated(F.lit("plain output %d"), n))
-    return observations(spark, d).select(F.col("id").alias("doc_id"), F.lit("").alias("command"), text.alias("text"), "k", "tool_type")
+    # Rows of a few bytes become payloads of hundreds, so they are dealt to all tasks first: a small file is read by one or two.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = observations(spark, d).select("id", "k", "tool_type", "session_id").repartition(parts, "id")
+    return rows.select(F.col("id").alias("doc_id"), F.lit("").alias("command"), text.alias("text"), "k", "tool_type", "session_id")
 
 
 @query("""SELECT id AS doc_id, CASE k % 3 WHEN 0 THEN 'cargo test' WHEN 1 THEN 'search' ELSE 'generic' END AS kind, CASE k % 3

@@ -113,3 +113,21 @@ def test_a_broken_run_is_made_good(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stream, "_run", whole)
     stream.sync(spark, inbox, folder)
     assert sorted(tuple(r[c] for c in COLUMNS) for r in stream.outcome(spark, folder).collect()) == sorted(one_by_one(rows))
+
+
+def test_each_payload_is_built_once(spark):
+    """No join builds payloads twice or sends them whole to every task, and the chain reads what it hashed, not the texts again."""
+    from sparkwell.plans.memory import payload_arrivals
+
+    plan = payload_arrivals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            calls.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(50).selectExpr("id AS at", "sha2(string(id % 20), 256) AS hash", "sha2(string(id % 10), 256) AS norm", "id % 5 + 1 AS simhash", "'' AS digits")
+    assert remember.remembered(rows.mapInPandas(counted, rows.schema)).count() == 50
+    assert calls.value == 50
