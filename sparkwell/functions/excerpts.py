@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwell.functions.columns import estimated_tokens, token_kind
@@ -33,6 +33,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def sifted(rows: DataFrame, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with the fields of a struct, where ``keep`` holds of it. The struct is worked out once a row; a filter above a
+    projection would be moved below it with a copy of the whole expression."""
+    return rows.select("*", F.inline(F.filter(F.array(value), keep)))
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text; a line end at its end opens no further one, and carriage returns before line ends go."""
     rows = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)

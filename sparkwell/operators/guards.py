@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkwell.functions.columns import estimated_tokens, signal_line, token_cap
-from sparkwell.functions.excerpts import command_header, let, ranked_excerpt, raw_tokens
+from sparkwell.functions.excerpts import command_header, let, ranked_excerpt, raw_tokens, sifted
 from sparkwell.operators.reducers import reduce_by_tool
 
 #: Tokens that a payload has at least, and tokens that its excerpt saves at least.
@@ -24,30 +24,35 @@ SHELL_LEAST, SHELL_GAIN = 80, 40
 CONTROL = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[()][A-Z0-9]|\r"
 
 
-def capped(rows: DataFrame, tool: str = "tool", text: str = "text", exit_code: str | None = None) -> DataFrame:
-    """``rows`` with ``raw`` and ``cap``: the tokens of a payload, and how many its excerpt may take."""
+def capped(rows: DataFrame, tool: str = "tool", text: str = "text", exit_code: str | None = None, least: int = 0) -> DataFrame:
+    """``rows`` of ``least`` tokens and more with ``raw`` and ``cap``: the tokens of a payload, and how many its excerpt may take."""
     body = F.coalesce(F.col(text), F.lit(""))
     signals = F.size(F.filter(F.split(body, "\n", -1), signal_line)).cast("long")
     code = F.lit(None).cast("int") if exit_code is None else F.col(exit_code)
     cap = lambda n: token_cap(F.col("raw"), F.col(tool), code, n, F.lit(False), F.lit("balanced"), F.lit(1.0), F.lit(0), F.lit(False))
-    return rows.withColumn("raw", raw_tokens(F.col(tool), body)).withColumn("cap", let(signals, cap))
+    measured = sifted(rows, F.struct(raw_tokens(F.col(tool), body).alias("raw")), lambda e: e["raw"] >= least)
+    return measured.withColumn("cap", let(signals, cap))
 
 
 def generic_guard(payloads: DataFrame) -> DataFrame:
     """(doc_id, raw, cap, delivered, text) of the payloads that an excerpt replaces."""
-    rows = capped(payloads).where(F.col("raw") >= GENERIC_LEAST)
+    rows = capped(payloads, least=GENERIC_LEAST)
     excerpt = let(F.regexp_replace("text", CONTROL, ""), lambda t: ranked_excerpt(t, F.col("task"), F.col("cap")))
-    told = rows.select("doc_id", "raw", "cap", let(excerpt, lambda x: F.struct(x.alias("text"), estimated_tokens(x, "shell").alias("delivered"))).alias("e"))
-    return told.select("doc_id", "raw", "cap", "e.*").where(F.col("delivered") + GENERIC_GAIN < F.col("raw"))
+    told = let(excerpt, lambda x: F.struct(x.alias("_shown"), estimated_tokens(x, "shell").alias("delivered")))
+    raw = F.col("raw")
+    return sifted(rows, told, lambda e: e["delivered"] + GENERIC_GAIN < raw).select("doc_id", "raw", "cap", F.col("_shown").alias("text"), "delivered")
 
 
 def shell_guard(payloads: DataFrame) -> DataFrame:
     """(doc_id, kind, raw, delivered, text) of the shell outputs that their tool's reduced form replaces, under command and exit code."""
-    rows = payloads.withColumn("raw", raw_tokens(F.lit("shell"), F.coalesce("text", F.lit("")))).where(F.col("raw") >= SHELL_LEAST)
-    reduced = reduce_by_tool(rows)
-    told = rows.select("doc_id", "raw", "command", "exit_code").join(reduced, "doc_id").select("doc_id", "kind", "raw", command_header(F.col("command"), F.col("exit_code"), F.col("reduced")).alias("text"))
-    told = told.withColumn("delivered", estimated_tokens(F.col("text"), "shell"))
-    return told.where(F.col("delivered") + SHELL_GAIN < F.col("raw"))
+    measured = let(F.coalesce("text", F.lit("")), lambda t: F.struct(t.alias("_t"), raw_tokens(F.lit("shell"), t).alias("raw")))
+    rows = sifted(payloads.select("doc_id", "command", "exit_code", "text"), measured, lambda e: e["raw"] >= SHELL_LEAST).drop("text")
+    # What the guard needs of a row goes through the reducers with it: a join back would build all payloads twice.
+    reduced = reduce_by_tool(rows, text="_t", keep=("raw", "command", "exit_code"))
+    shown = command_header(F.col("command"), F.col("exit_code"), F.col("reduced"))
+    told = let(shown, lambda t: F.struct(t.alias("text"), estimated_tokens(t, "shell").alias("delivered")))
+    raw = F.col("raw")
+    return sifted(reduced, told, lambda e: e["delivered"] + SHELL_GAIN < raw).select("doc_id", "kind", "raw", "text", "delivered")
 
 
 def filled(rows: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
