@@ -19,12 +19,15 @@ from pyspark.sql.window import Window
 from sparkwell.functions.columns import layer
 from sparkwell.functions.tasks import token_overlap
 from sparkwell.operators import index
+from sparkwell.sources.stored import stored
 
 #: Hits of a search at least and at most, pages that the last resort reads, and rows of the map.
 LEAST_HITS, MOST_HITS, NEWEST, MAPPED, EACH_KIND = 1, 16, 80, 12, 4
 #: Points of overlap, of any overlap, of a hot and of a warm page, of a rare word, of TF-IDF, and of a failure.
 OVERLAP, ANY, HOT, WARM, RARE, TFIDF, FAILED = 12, 6, 8, 3, 6, 18, 10
 DAY, WEEK = 86_400, 7
+#: Frames, first in the order of hits, in which each needle is looked up before all others.
+FIRST_FRAMES = 4096
 
 
 def folded(text: Column) -> Column:
@@ -33,20 +36,24 @@ def folded(text: Column) -> Column:
 
 def pairs_of(text: Column) -> Column:
     """The distinct pairs of neighbouring characters of a folded text."""
-    n = F.char_length(text)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))))
+    # One pass over the text; cutting out each pair by its place would read the text from its start for each.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
 
 
 def holding(needles: DataFrame, rows: DataFrame, body: str) -> DataFrame:
-    """``needles`` (query_id, needle) joined with the ``rows`` whose folded ``body`` holds the folded needle."""
+    """``needles`` (query_id, needle) joined with the ``rows`` whose folded ``body`` holds the folded needle.
+
+    The needles, short texts, go to the rows; rows are taken apart into their pairs where they lie, and never shuffled once for each.
+    """
     asked = needles.select("query_id", folded(F.col("needle")).alias("_needle")).where(F.char_length("_needle") >= 2)
-    stored = rows.withColumn("_body", folded(F.col(body)))
-    keyed = stored.withColumn("_pair", F.explode(pairs_of(F.col("_body"))))
-    wanted = asked.withColumn("_pair", F.explode(pairs_of(F.col("_needle"))))
+    # The body is folded by a projection of its own, so that a pair of letters doesn't fold it again.
+    keyed = rows.withColumn("_body", folded(F.col(body))).withColumn("_pair", F.explode(pairs_of(F.col("_body"))))
+    wanted = asked.select("_needle").distinct().withColumn("_pair", F.explode(pairs_of(F.col("_needle"))))
     # A pair that no row has makes its needle's smallest count 0: then nothing holds the needle.
     counts = keyed.groupBy("_pair").agg(F.count("*").alias("_n"))
-    rarest = wanted.join(counts, "_pair", "left").groupBy("query_id", "_needle").agg(F.min_by("_pair", F.struct(F.coalesce("_n", F.lit(0)), F.col("_pair"))).alias("_pair"))
-    return rarest.join(keyed, "_pair").where(F.col("_body").contains(F.col("_needle"))).select("query_id", *rows.columns)
+    rarest = wanted.join(counts, "_pair", "left").groupBy("_needle").agg(F.min_by("_pair", F.struct(F.coalesce("_n", F.lit(0)), F.col("_pair"))).alias("_pair"))
+    found = keyed.join(F.broadcast(rarest), "_pair").where(F.col("_body").contains(F.col("_needle"))).select("_needle", *rows.columns)
+    return asked.join(found, "_needle").select("query_id", *rows.columns)
 
 
 def top(rows: DataFrame, k: int, *order) -> DataFrame:
@@ -58,10 +65,21 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
 def search_frames(needles: DataFrame, frames: DataFrame, k: int = MOST_HITS) -> DataFrame:
     """(query_id, rank, uri, name, kind, hint): frames (uri, name, kind, start_line, hint) whose name or hint holds the needle, failures first."""
     # A null character stands between the two, so no needle reaches over both.
-    rows = frames.withColumn("_both", F.concat_ws("\x00", F.coalesce("name", F.lit("")), F.coalesce("hint", F.lit(""))))
-    found = holding(needles, rows, "_both")
     weight = F.when(F.col("kind") == "fail", 0).when(F.col("kind") == "error", 1).otherwise(2)
-    return top(found, k, weight, "start_line", "uri", "name").select("query_id", "rank", "uri", "name", "kind", "hint")
+    rows = frames.withColumn("_both", F.concat_ws("\x00", F.coalesce("name", F.lit("")), F.coalesce("hint", F.lit("")))).withColumn("_weight", weight)
+    order = ["_weight", "start_line", "uri", "name"]
+    k = min(max(k, LEAST_HITS), MOST_HITS)
+    # Equal needles are looked up once. Those that ``k`` of the first frames in the order hold have their hits there; only the
+    # others, which few frames hold, are looked up in all frames.
+    named = needles.select("query_id", folded(F.col("needle")).alias("_needle"))
+    asked = stored(named.select(F.col("_needle").alias("query_id"), F.col("_needle").alias("needle")).distinct(), "frame-needles")
+    parts = frames.sparkSession.sparkContext.defaultParallelism
+    first = stored(rows.orderBy(*order).limit(FIRST_FRAMES), "frames-first").repartition(parts)
+    early = stored(top(holding(asked, first, "_both"), k, *order), "frames-early")
+    done = early.where(F.col("rank") == k).select("query_id")
+    rest = top(holding(asked.join(done, "query_id", "left_anti"), rows, "_both"), k, *order)
+    best = early.join(done, "query_id", "left_semi").unionByName(rest).withColumnRenamed("query_id", "_needle")
+    return named.join(best, "_needle").select("query_id", "rank", "uri", "name", "kind", "hint")
 
 
 def scan_newest(needles: DataFrame, pages: DataFrame, k: int = MOST_HITS) -> DataFrame:
