@@ -16,6 +16,8 @@ STOP = tuple(
     那个 我们 帮我 以及 或者 但是 如果 因为 所以 rs py ts js go tsx jsx toml json""".split()
 )
 MOST = 16
+#: Characters in which tokens are looked for first.
+HEADS = (256, 2048)
 
 
 def _of_run(run: Column) -> Column:
@@ -34,12 +36,27 @@ def _worth(token: Column) -> Column:
     return ((n >= 3) | (~plain & (n >= 2)) | token.rlike("^e[0-9]?$")) & ~token.isin(*STOP)
 
 
-def task_tokens(text: Column, most: int = MOST) -> Column:
-    """The first ``most`` distinct tokens of a text, in its order; none for a null one."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), F.lit(0))
+def _first_tokens(text: Column, most: int) -> Column:
+    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     return F.slice(F.array_distinct(F.filter(F.flatten(F.transform(runs, _of_run)), _worth)), 1, most)
 
 
+def task_tokens(text: Column, most: int = MOST) -> Column:
+    """The first ``most`` distinct tokens of a text, in its order; none for a null one.
+
+    Most texts have them in their first characters: more is only read where these hold too few.
+    """
+    text = F.coalesce(text, F.lit(""))
+    found = _first_tokens(text, most)
+    for n in reversed(HEADS):
+        # The run at the end of a head may go on behind it, so it doesn't count.
+        head = F.when(F.char_length(text) <= n, text).otherwise(F.regexp_replace(F.left(text, F.lit(n)), f"(?:[A-Za-z0-9]++|[{CJK}]++)$", ""))
+        more = found
+        # An array of one, so that the head's tokens have a name and are worked out once.
+        found = F.get(F.transform(F.array(_first_tokens(head, most)), lambda t: F.when((F.size(t) >= most) | (F.char_length(text) <= n), t).otherwise(more)), F.lit(0))  # noqa: B023
+    return found
+
+
 def merged_tokens(old: Column, new: Column) -> Column:
     """Tokens of both, the new ones first."""
     return task_tokens(F.concat_ws(" ", new, old))

@@ -9,6 +9,7 @@ from sparkwell.operators import deltas, texts
 from sparkwell.plans.payloads import payloads
 from sparkwell.plans.queries import query
 from sparkwell.sources.model import table
+from sparkwell.sources.stored import stored
 
 #: (doc_id, tok, spot): the first task tokens of each text.
 TOKENS_SQL = rf"""runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RUN}')) AS run, generate_subscripts(regexp_extract_all(text, '{RUN}'), 1) AS i FROM documents),
@@ -26,7 +27,9 @@ def tokens(spark, d):
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, string_agg(tok, ' ' ORDER BY spot) AS tokens FROM top GROUP BY 1")
 def text_task_tokens(spark, d):
-    return tokens(spark, d).where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    # A filter isn't moved before an explode, so tokens are worked out once, not for the filter again.
+    named = tokens(spark, d).select("doc_id", F.explode(F.array("tokens")).alias("tokens"))
+    return named.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"""WITH {TOKENS_SQL}, p AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev_id FROM documents),
@@ -35,7 +38,7 @@ def text_task_tokens(spark, d):
   SELECT doc_id, prev_id, CAST(sum(CASE WHEN length(tok) <= 2 THEN 1 WHEN length(tok) <= 5 THEN 2 ELSE 3 END) AS BIGINT) AS score FROM hit GROUP BY 1, 2""")
 def related_texts(spark, d):
     """How much each text's task tokens have in common with those of the text before it from the same source."""
-    own = tokens(spark, d)
+    own = stored(tokens(spark, d), "task-tokens")  # read for both texts of a pair
     pairs = texts.previous_ids(table(spark, d, "documents")).join(own, "doc_id").join(own.select(F.col("doc_id").alias("prev_id"), F.col("tokens").alias("page")), "prev_id")
     return pairs.select("doc_id", "prev_id", token_overlap(F.col("page"), F.col("tokens")).cast("long").alias("score")).where("score > 0")
 
