@@ -117,6 +117,7 @@ def mapped_pages(pages: DataFrame, seen: DataFrame, asked: list[str], now: int,
 
     ``pages``: (uri, kind, tokens as an array, summary, created_at); ``seen``: (uri, referenced, accessed_at), the last look at each; ``asked``: the task's tokens.
     """
+    pages = stored(pages, "map-pages")  # three passes read it; tokens are cut from texts once
     hits = lambda q: token_overlap(F.col("tokens"), F.array(F.lit(q))) > 0
     n, *df = pages.agg(F.count("*"), *[F.count(F.when(hits(q), 1)).alias(f"df{i}") for i, q in enumerate(asked)]).first()
     held = pages.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
