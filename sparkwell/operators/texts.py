@@ -119,9 +119,15 @@ def _links(classes: DataFrame, radius: int) -> DataFrame:
     masks = [sum(((1 << w) - 1) << at for at, w in three) for three in combinations(BLOCKS, 3)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = classes.where("simhash <> 0").select("simhash", "class_id", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
-    side = lambda x: keyed.withColumnsRenamed({"simhash": x, "class_id": f"{x}_class"})
-    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return side("a").join(side("b"), ["choice", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.cast("int").alias("distance"), "a_class", "b_class").distinct()
+    # The number of partitions is given: hashes are few bytes, links may be many, and one task would get them all.
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda x: keyed.withColumnsRenamed({"simhash": x, "class_id": f"{x}_class"}).repartition(parts, "choice", "value")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    distance = F.bit_count(differ)
+    # A link comes from the first choice that both sides share, so none comes twice and no task holds links to compare them.
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)])
+    met = side("a").join(side("b"), ["choice", "value"]).where((F.col("a") < F.col("b")) & (distance <= radius) & (F.col("choice") == first))
+    return met.select("a", "b", distance.cast("int").alias("distance"), "a_class", "b_class")
 
 
 def simhash_members(hashes: DataFrame) -> DataFrame:
