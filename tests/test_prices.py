@@ -57,3 +57,12 @@ def test_turns_by_hand(spark, model, harness, want):
     fresh = uncached_input(F.col("harness"), F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_write_5m") + F.col("cache_write_1h"))
     (row,) = P.priced(rows, P.catalog(spark), fresh).collect()
     assert row["usd"] == (pytest.approx(want, abs=1e-6) if want is not None else None)
+
+
+def test_turns_do_not_meet_by_model(spark):
+    """Most turns have one of few models: joined by model they would be a few large groups."""
+    from sparkwell.operators.analytics import costs
+    from sparkwell.sources.model import turns
+
+    plan = costs(turns(spark, "/root/testdata/sf0.001"), "session")._jdf.queryExecution().executedPlan().toString()
+    assert next(line for line in plan.splitlines() if "Join" in line).strip(" +-:").startswith("BroadcastHashJoin")
