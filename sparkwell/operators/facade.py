@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from sparkwell.functions.columns import layer
 from sparkwell.functions.tasks import token_overlap
 from sparkwell.operators import index
+from sparkwell.operators import needles as needle_sets
 from sparkwell.sources.stored import stored
 
 #: Hits of a search at least and at most, pages that the last resort reads, and rows of the map.
@@ -77,8 +78,10 @@ def search_frames(needles: DataFrame, frames: DataFrame, k: int = MOST_HITS) ->
     first = stored(rows.orderBy(*order).limit(FIRST_FRAMES), "frames-first").repartition(parts)
     early = stored(top(holding(asked, first, "_both"), k, *order), "frames-early")
     done = early.where(F.col("rank") == k).select("query_id")
-    rest = top(holding(asked.join(done, "query_id", "left_anti"), rows, "_both"), k, *order)
-    best = early.join(done, "query_id", "left_semi").unionByName(rest).withColumnRenamed("query_id", "_needle")
+    left = asked.join(done, "query_id", "left_anti").select(F.col("needle").alias("_needle"))
+    found = needle_sets.found(left, rows.withColumn("_both", folded(F.col("_both"))), "_both", "frames-found")
+    rest = top(found.withColumnRenamed("_needle", "query_id"), k, *order)
+    best = early.join(done, "query_id", "left_semi").select(*rest.columns).unionByName(rest).withColumnRenamed("query_id", "_needle")
     return named.join(best, "_needle").select("query_id", "rank", "uri", "name", "kind", "hint")
 
 

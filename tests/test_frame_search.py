@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkwell.operators import facade
+import random
+
+from sparkwell.operators import facade, needles
 
 
 def test_first_and_later_frames(spark, monkeypatch):
@@ -23,3 +25,26 @@ def test_rows_are_not_shuffled_by_pair(spark):
     found = facade.holding(needles, rows, "body")
     assert "strategy=broadcast" in found._jdf.queryExecution().analyzed().toString() or "ResolvedHint" in found._jdf.queryExecution().analyzed().toString()
     assert [r["uri"] for r in found.collect()] == [1]
+
+
+def test_needles_are_found_in_one_pass_over_the_texts(spark, monkeypatch):
+    """Needles of all lengths, in blocks, with letters of four bytes; none reaches over two texts; texts are not taken apart into rows of pairs."""
+    monkeypatch.setattr(needles, "BLOCK", 40)
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcé😀 ", k=rng.choice([0, 1, 3, 20, 60]))) for _ in range(300)]
+    asked = sorted({t[i : i + n] for t in texts[:60] for n in (2, 3, 4, 5, 9) for i in range(0, max(len(t) - n, 0), 5)} | {"zz", "abcabcabcabc"})
+    assert len(asked) > 120
+    rows = spark.createDataFrame(list(enumerate(texts)), "uri long, body string")
+    got = needles.found(spark.createDataFrame([(x,) for x in asked], "_needle string"), rows, "body", "found").collect()
+    assert sorted((r["_needle"], r["uri"]) for r in got) == sorted((x, i) for x in asked for i, t in enumerate(texts) if x in t)
+
+
+def test_later_frames_are_not_joined_by_pair(spark, monkeypatch):
+    """Rare needles met every frame that has their rarest pair of letters, a number of rows that grew with both tables."""
+    monkeypatch.setattr(facade, "FIRST_FRAMES", 20)
+    held = []
+    monkeypatch.setattr(facade, "holding", lambda asked, rows, body, own=facade.holding: held.append(rows.count()) or own(asked, rows, body))
+    frames = spark.createDataFrame([(i, "n", "fail", 1, f"hint {i}") for i in range(500)], "uri long, name string, kind string, start_line int, hint string")
+    got = facade.search_frames(spark.createDataFrame([(1, "hint 499"), (2, "hint")], "query_id long, needle string"), frames, 5)
+    assert sorted((r["query_id"], r["uri"]) for r in got.collect()) == [(1, 499), *((2, i) for i in range(5))]
+    assert held == [20]
