@@ -102,8 +102,12 @@ def scan_newest(needles: DataFrame, pages: DataFrame, k: int = MOST_HITS) -> Dat
 def search(needles: DataFrame, frames: DataFrame, texts: index.Index, pages: DataFrame, k: int = MOST_HITS) -> DataFrame:
     """(query_id, rank, source, uri, detail): frames that hold the needle, then texts by BM25 that have none of these; if neither, the newest pages."""
     k = min(max(k, LEAST_HITS), MOST_HITS)
-    framed = search_frames(needles, frames, k).select("query_id", F.lit(0).alias("source"), F.col("rank").alias("place"), "uri", F.col("name").alias("detail"))
-    scored = index.search(texts, needles.withColumnRenamed("needle", "text"), k)
+    # Three of the steps below read what the frames hold.
+    framed = stored(search_frames(needles, frames, k).select("query_id", F.lit(0).alias("source"), F.col("rank").alias("place"), "uri", F.col("name").alias("detail")), "search-framed")
+    # Equal needles are searched for once.
+    named = needles.select("query_id", folded(F.col("needle")).alias("_needle"))
+    scored = index.search(texts, named.select(F.col("_needle").alias("query_id"), F.col("_needle").alias("text")).distinct(), k)
+    scored = named.join(scored.withColumnRenamed("query_id", "_needle"), "_needle").drop("_needle")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = scored.select("query_id", F.lit(1).alias("source"), F.row_number().over(order).alias("place"), F.col("doc_id").alias("uri"), F.lit("").alias("detail"))
     texts_only = ranked.join(framed.select("query_id", "uri").distinct(), ["query_id", "uri"], "left_anti").select(*ranked.columns)
